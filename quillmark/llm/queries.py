@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leakage, splitting
+from quillmark.llm import leakage, spam, splitting
+from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
 
@@ -29,7 +30,19 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
+def _page_features(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_lineage(spam.page_features(table(spark, folder, "documents")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(_page_features(spark, folder)).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.shaped(_page_features(spark, folder))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
 
 ORACLE = {
     "p5_found": """WITH recs AS (
