@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import leakage, spam, splitting
+from quillmark.llm import language, leakage, spam, splitting
 from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.project_segments(table(spark, folder, "package_items"), table(spark, folder, "chunks"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.label_cases(_segments(spark, folder)).select("rec_table", "rec_key", "seg_no", "lang")
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    every = _segments(spark, folder).select("rec_table", "rec_key", "declared", F.posexplode("segments").alias("n", "s"))
+    return every.select("rec_table", "rec_key", (F.col("n") + 1).alias("seg_no"), "declared", "s.lang", "s.start", "s.stop", "s.letters", "s.confidence")
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.project_pieces(*[table(spark, folder, t) for t in ("package_items", "chunks", "size_limits")])
 
@@ -42,7 +55,7 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.shaped(_page_features(spark, folder))
 
 
-QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
+QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
 
 ORACLE = {
     "p5_found": """WITH recs AS (
