@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import language, leakage, spam, splitting
+from quillmark.llm import language, leakage, mixing, spam, splitting
 from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
@@ -43,6 +43,14 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_cases"))
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def _page_features(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(spam.page_features(table(spark, folder, "documents")))
 
@@ -55,7 +63,7 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.shaped(_page_features(spark, folder))
 
 
-QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
+QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
 
 ORACLE = {
     "p5_found": """WITH recs AS (
