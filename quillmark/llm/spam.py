@@ -31,6 +31,7 @@ FLOORS = (0.08, 0.05, 0.05, 0.15, 0.06, 0.06)
 DIRECTION = np.ones(len(FEATURES))
 #: 0.999 quantile of chi-square with six degrees of freedom
 FAR = 22.46
+LOGS = [0.0, *map(log, range(1, 4096))]
 CLIP, LEAST_ROWS = 3.0, 200
 FEATURE_SCHEMA = "doc_id bigint, language string, spam_share double, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -42,13 +43,13 @@ FUNCTION_WORDS = {
     "es": "el la los las de del y en un una uno es son se que no a al por para con sin su sus lo le les ha han fue fueron más entre desde como si cuando hasta sobre durante este esta estos estas pero o muy ya debe",
     "pt": "o a os as de do da dos das e em no na nos nas um uma é são se que não ao aos à às por para com sem seu sua seus suas foi foram mais entre desde como quando até sobre este esta isso mas ou muito já deve depois pelo pela ter teria sido",
 }
-FUNCTION_SIGNS = frozenset("的了在是和与被将并因此对从把为应所以及其由于不会这已后再先若仅但则该各每也而或都就")
+FUNCTION_SIGN = re.compile("[的了在是和与被将并因此对从把为应所以及其由于不会这已后再先若仅但则该各每也而或都就]")
 WORDS = {w: frozenset(x for x, v in FUNCTION_WORDS.items() if w in v.split()) for v in FUNCTION_WORDS.values() for w in v.split()}
 
-LINK = re.compile(
-    r"<a\s[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|\[\[[^\]\n]*\]\]|(?:[^\n»·•|*<>]{0,80}» )?(?:https?://|www\.)[^\s<>]+|[^\n»·•|*<>]{0,80}» [\w-]+(?:\.[\w-]+)+(?:/\S*)?",
-    re.S,
-)
+PLAIN_LINK = r"<a\s[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|\[\[[^\]\n]*\]\]|(?:https?://|www\.)[^\s<>]+"
+LINK = re.compile(PLAIN_LINK, re.S)
+#: also a title, an arrow and an address; dearer, so only for texts with arrows
+ARROW_LINK = re.compile(r"[^\n»·•|*<>]{0,80}» (?:https?://|www\.)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?|" + PLAIN_LINK, re.S)
 TAG = re.compile(r"(?<![\w/])[#@+][^\W_][\w-]*|(?:^|(?<=[;,/|\n；，、•·] )|(?<=[\n;,/|；，、•·])|(?<=^))[^\W\d_][^\W\d_]{0,18}[:：=]\S[^\n;；,，/|•·。.!?]{0,60}(?=$|[\n;；,，/|•·])", re.M)
 SEGMENT = re.compile(r"[^\n.!?。！？]+(?:[.!?](?=\S)[^\n.!?。！？]*)*[.!?。！？]*")
 LATIN = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
@@ -60,14 +61,14 @@ WIDE = re.compile("[！-～]{2}[Ａ-Ｚａ-ｚ]")
 NGRAM = 5
 
 
-def language_of(words: list[str], signs: int, kana: int) -> str:
+def language_of(counts: dict[str, int], signs: int, kana: int) -> str:
     """The language whose function words are the most, or that of the script."""
-    if signs > len(words):
+    if signs > 2 * len(counts) or signs > sum(counts.values()) / 2:
         return "ja" if kana * 10 > signs else "zh"
-    votes: Counter = Counter()
-    for w in words:
-        for lang in WORDS.get(w, ()):
-            votes[lang] += 1
+    votes: dict[str, int] = {}
+    for w in WORDS.keys() & counts.keys():
+        for lang in WORDS[w]:
+            votes[lang] = votes.get(lang, 0) + counts[w]
     return max(sorted(votes), key=votes.__getitem__) if votes else "none"
 
 
@@ -76,14 +77,13 @@ def is_sentence(segment: str) -> tuple[bool, int, int, list[str]]:
     signs = SIGNS.findall(segment) if not segment.isascii() else []
     if len(signs) * 4 > len(segment):
         kana = len(KANA.findall(segment))
-        functional = kana if kana else sum(map(FUNCTION_SIGNS.__contains__, signs))
         if kana * 10 > len(signs):
             return len(signs) >= 8 and kana * 4 > len(signs), len(signs), kana // 3, signs
-        grams = [a + b for a, b in zip(signs, signs[1:], strict=False)]
-        varied = len(set(grams)) * 3 >= len(grams) * 2
+        functional = kana or len(FUNCTION_SIGN.findall(segment))
+        varied = len(signs) < 8 or len(set(zip(signs, signs[1:], strict=False))) * 3 >= (len(signs) - 1) * 2
         return len(signs) >= 8 and varied and functional * 22 >= len(signs), len(signs), functional, signs
     words = LATIN.findall(segment.lower())
-    functional = sum(map(WORDS.__contains__, words))
+    functional = len([w for w in words if w in WORDS])
     varied = len(words) < 12 or len(set(words)) * 2 >= len(words)
     ended = segment[-1] in ".!?:" or len(words) >= 7
     return ended and len(words) >= 4 and varied and functional * 6 >= len(words), len(words), functional, words
@@ -97,7 +97,7 @@ def features(text: str) -> tuple[str, float, list[float]]:
     rest = text
     if "://" in text or "[[" in text or "](" in text or "<a" in text or "»" in text or "www." in text:
         parts, last = [], 0
-        for m in LINK.finditer(text):
+        for m in (ARROW_LINK if "»" in text else LINK).finditer(text):
             links += len(m[0].strip())
             parts.append(text[last : m.start()])
             last = m.end()
@@ -107,7 +107,7 @@ def features(text: str) -> tuple[str, float, list[float]]:
         if len(found) >= 4:
             tags = sum(map(len, found))
             rest = TAG.sub("\n", rest)
-    sentence = loose = tokens = functional = signs = kana = 0
+    sentence = loose = tokens = functional = 0
     words: list[str] = []
     odd: list[str] = []
     for line in rest.split("\n"):
@@ -135,13 +135,13 @@ def features(text: str) -> tuple[str, float, list[float]]:
         repeats = max(repeats, 1 - len(set(bare)) / len(bare))
     total = max(1, links + tags + sentence + loose)
     stuffed = loose if repeats > 0.45 and loose > 80 else loose if links + tags > 2 * (sentence + loose) else 0
-    signs = sum(map(len, map(SIGNS.findall, words))) if not text.isascii() else 0
-    kana = sum(map(len, map(KANA.findall, words))) if signs else 0
+    signs = len(SIGNS.findall(rest)) if not rest.isascii() else 0
+    kana = len(KANA.findall(rest)) if signs else 0
     counts = Counter(words)
-    n = sum(counts.values())
-    entropy = -sum(c / n * log(c / n) for c in counts.values()) / log(n) if n > 1 else 1.0
-    language = language_of([w for w in words if not SIGNS.match(w)] if signs else words, signs, kana)
-    return language, (links + tags + stuffed) / total, [loose / total, links / total, tags / total, repeats, 1 - entropy if n > 20 else 0.0, 1 - functional / tokens if tokens > 20 else 0.6]
+    n = len(words)
+    entropy = log(n) - sum(c * LOGS[c] if c < 4096 else c * log(c) for c in counts.values()) / n if n > 1 else 0.0
+    language = language_of(counts, signs, kana)
+    return language, (links + tags + stuffed) / total, [loose / total, links / total, tags / total, repeats, 1 - entropy / log(n) if n > 20 else 0.0, 1 - functional / tokens if tokens > 20 else 0.6]
 
 
 def page_features(documents: DataFrame) -> DataFrame:
