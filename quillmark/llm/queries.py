@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import language, leakage, mixing, spam, splitting
+from quillmark.llm import language, leakage, mixing, scans, spam, splitting
 from quillmark.session import cut_lineage
 from quillmark.sources.tables import table
 
 
+def _scans(spark: SparkSession, folder: str, repair: bool = False) -> DataFrame:
+    return scans.read_scans(*[table(spark, folder, t) for t in ("package_items", "visual_cache", "packages", "assets")], repair=repair)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).select("rec_table", "rec_key", F.inline("events")).distinct()
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder, repair=True).select("rec_table", "rec_key", F.col("repaired").alias("text"))
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.project_segments(table(spark, folder, "package_items"), table(spark, folder, "chunks"))
 
@@ -63,7 +75,7 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.shaped(_page_features(spark, folder))
 
 
-QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_segments": p4_segments, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
 
 ORACLE = {
     "p5_found": """WITH recs AS (
