@@ -18,5 +18,11 @@ def earliest(df: DataFrame, keys: list[str], keep: list[str], moment: str = "ing
     smallest kept values; a null moment sorts first only where all rows of the key have none.
     """
     late = F.when(F.col(moment).isNull(), 1).otherwise(0)
-    first = F.min(F.struct(late.alias("_late"), F.col(moment).alias("_at"), *[F.col(c) for c in keep])).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in keep], F.col("_first._at").alias(moment))
+    kept = [F.col(c) for c in keep]
+    ordered = [F.col(c) for c in keep if "map<" not in dict(df.dtypes)[c]]
+    order = F.struct(late.alias("_late"), F.col(moment).alias("_at"), *ordered)
+    if len(ordered) == len(keep):
+        first = F.min(order)
+    else:  # maps have no order of their own
+        first = F.min_by(F.struct(F.col(moment).alias("_at"), *kept), order)
+    return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in keep], F.col("_first._at").alias(moment))
