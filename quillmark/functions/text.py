@@ -46,9 +46,11 @@ def labels(text: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x != ""))
 
 
-def excerpt(text: Column, query_tokens: Column, limit: int = 500) -> Column:
-    """A window of about ``limit`` characters that starts a third before the first query token."""
-    clean = collapse(text)
+def excerpt(clean: Column, query_tokens: Column, limit: int = 500) -> Column:
+    """A window of about ``limit`` characters that starts a third before the first query token.
+
+    ``clean`` is a column of collapsed text: a column, as it is read once per token.
+    """
     places = F.filter(F.transform(query_tokens, lambda t: F.instr(F.lower(clean), t)), lambda p: p > 0)
     start = F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(1)) - 1 - limit // 3)
     cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(clean, start + 1, F.least(F.length(clean) - start, F.lit(limit))), F.when(start + limit < F.length(clean), "…").otherwise(""))

@@ -227,5 +227,7 @@ def flatten_records(records: DataFrame, key: str = "raw_id", text: str = "record
 
 def child_table(children: DataFrame, child: str, fields: dict[str, str]) -> DataFrame:
     """One flat table: the children of a kind with columns read from their JSON text (name -> JSON path)."""
-    cols = [F.get_json_object("value", path).alias(name) for name, path in fields.items()]
+    # a cell may be a bare text instead of an object with a text
+    plain = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"text":'), F.col("value"), F.lit("}")), "$.text"))
+    cols = [(F.coalesce(F.get_json_object("value", path), plain) if path == "$.text" else F.get_json_object("value", path)).alias(name) for name, path in fields.items()]
     return children.where(F.col("child") == child).select("raw_id", "parent_pos", "pos", *cols)

@@ -29,6 +29,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 CHILD_TABLES = {
     "p3_regions": ("region", {"page": "$.page", "box": "$.values"}),
     "p3_steps": ("step", {"tool": "$.tool", "version": "$.version", "parameters": "$.parameters"}),
+    "p3_cells": ("cell", {"text": "$.text", "colspan": "$.colspan"}),
     "p3_warnings": ("warning", {"code": "$.code", "message": "$.message"}),
     "p3_entities": ("entity", {"name": "$.name", "type": "$.type"}),
     "p3_mentions": ("mention", {"start": "$.start", "stop": "$.end"}),

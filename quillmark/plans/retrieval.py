@@ -193,8 +193,8 @@ SELECT query_id, rank, doc_key, CASE WHEN length(clean) <= 500 THEN clean ELSE (
 )
 def hit_snippets(spark, folder):
     hits = bm25_chunk_topk(spark, folder).join(cases(spark, folder).select(F.col("id").alias("query_id"), tx.tokens(F.col("question")).alias("tokens")), "query_id")
-    texts = chunks_of(spark, folder, ["text"]).select(F.concat_ws("#", "source_id", "chunk_id").alias("doc_key"), "text")
-    return hits.join(texts, "doc_key").select("query_id", "rank", "doc_key", tx.excerpt(F.col("text"), F.col("tokens")).alias("snippet"))
+    texts = chunks_of(spark, folder, ["text"]).select(F.concat_ws("#", "source_id", "chunk_id").alias("doc_key"), tx.collapse(F.col("text")).alias("clean"))
+    return hits.join(texts, "doc_key").select("query_id", "rank", "doc_key", tx.excerpt(F.col("clean"), F.col("tokens")).alias("snippet"))
 
 
 @add("content_classes", "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
