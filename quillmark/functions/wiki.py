@@ -17,16 +17,17 @@ def clean_page(text: Column, title: Column) -> Column:
 
     Citations written as links become code. Up to three front matter blocks at the start are removed.
     """
-    body = F.trim(empty(text))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    body = strip(empty(text))
     for _ in range(3):
         body = F.regexp_replace(body, r"(?s)^---\n.*?\n---[ \t]*\n?\s*", "")
     body = F.substring_index(body, MANAGED_START, 1)
-    body = F.rtrim(F.regexp_replace(body, r"(?s)\n## Evidence\n.*$", ""))
+    body = F.regexp_replace(body, r"(?s)\n## Evidence\n.*$", "")
     head = F.lower(F.concat(F.lit("# "), empty(title)))
     lines = F.split(body, "\n")
     flags = F.transform(lines, lambda x: (F.trim(x) == "") | (F.lower(F.trim(x)) == head))
     first = F.array_position(flags, False)
-    kept = F.when(first > 0, F.trim(F.array_join(F.slice(lines, F.when(first > 0, first.cast("int")).otherwise(1), F.size(lines)), "\n"))).otherwise("")
+    kept = F.when(first > 0, strip(F.array_join(F.slice(lines, F.when(first > 0, first.cast("int")).otherwise(1), F.size(lines)), "\n"))).otherwise("")
     return F.regexp_replace(kept, r"\[\[([^\[\]\s]+@[^#\[\]]+#[^\[\]]+)\]\]", "`$1`")
 
 

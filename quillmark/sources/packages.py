@@ -61,8 +61,7 @@ def read_packages(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     chunks = lines.select("package", "line_no", F.from_json("record", CHUNK).alias("c")).select("package", "line_no", "c.*")
     once = {c: F.array_distinct(F.filter(c, lambda x: x.isNotNull())) for c in ("item_ids", "modalities", "asset_ids", "page_refs")}
     files = spark.read.text(f"{root}/*/assets.json", wholetext=True).select(package_of(F.col("_metadata.file_path")).alias("package"), "value")
-    listed = F.coalesce(F.from_json("value", f"array<{ASSET}>"), F.from_json("value", f"struct<assets:array<{ASSET}>>")["assets"])
-    bare = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{ASSET}>")).otherwise(listed)
+    bare = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{ASSET}>")).otherwise(F.from_json("value", f"struct<assets:array<{ASSET}>>")["assets"])
     assets = files.select("package", F.inline(bare)).withColumn("media_type", F.coalesce("media_type", "mime_type")).drop("mime_type")
     return {"packages": packages, "items": items, "chunks": chunks.withColumns(once), "assets": assets}
 
