@@ -76,7 +76,8 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
                 values = np.take_along_axis(score, best, axis=0)
                 q, d = np.meshgrid(np.arange(len(names)), np.arange(len(best)))
                 good = values > 0
-                yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "doc_key": pdf["doc_key"].to_numpy()[best[d[good], q[good]]], "score": values[good]})
+                if good.any():
+                    yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "doc_key": pdf["doc_key"].to_numpy()[best[d[good], q[good]]], "score": values[good]})
 
     types = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["doc_key"]
     found = documents.select("doc_key", "tokens", "labels", "visual", "tabular", "extra").mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")

@@ -47,7 +47,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, skip_self: bool
                     values = np.take_along_axis(score, best, axis=1)
                     good = values > -2
                     q = np.repeat(np.arange(len(names)), best.shape[1]).reshape(best.shape)
-                    yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "vec_id": pdf["vec_id"].to_numpy()[best[good]], "score": values[good]})
+                    if good.any():
+                        yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "vec_id": pdf["vec_id"].to_numpy()[best[good]], "score": values[good]})
 
             usable = vectors.where(F.size("vector") == dimension).where(~F.exists("vector", lambda x: x.isNull()))
             parts.append(usable.select("vec_id", "vector").mapInPandas(run, schema))
