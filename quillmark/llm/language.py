@@ -277,7 +277,7 @@ def text_rows(items: DataFrame, chunks: DataFrame) -> DataFrame:
 def project_segments(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per record: rec_table, rec_key, label, declared (language named by the label) and its segments."""
     rows = text_rows(items, chunks).where("text is not null and text <> ''")
-    labelled = rows.select(named_language(F.col("label")).alias("lang"), "text").where("lang is not null").where(F.length("text") >= 2 * LEAST_LETTERS)
+    labelled = rows.select(named_language(F.col("label")).alias("lang"), "text").where("lang is not null").where(F.length("text") >= LEAST_LETTERS)
     shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(train(labelled)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
