@@ -277,6 +277,12 @@ def test_scans_of_empty_tables(spark):
     assert scans.read_scans(*[d.where("false") for d in noisy_tables(spark)]).count() == 0
 
 
+def test_numbers_with_letters():
+    reader = scans.Reader({}, {})
+    events, text = reader.read("fell from 9.S to l,0l3 percent and B105 rose\nin 2O24 by e.g. 3.5 or U.S. units", (), False, True)
+    assert sorted(events) == [(1, "char"), (2, "char")] and text == "fell from 9.5 to 1,013 percent and B105 rose in 2024 by e.g. 3.5 or U.S. units"
+
+
 def test_page_lines():
     yes = ["12", "- 12 -", "~ 7 ~", "Page 3", "Page 3 of 9", "p. 4", "[22]", "xviii", "第 6 页", "第3页 共9页", "· 5 ·"]
     no = ["2019.", "Step 3", "序号8", "12 units", "model", "", "A 12", "3.9%"]
