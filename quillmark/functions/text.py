@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # fixed values: the token and label patterns that ranking depends on
 LATIN_TOKEN = r"[a-z0-9]+(?:[._/@+-][a-z0-9]+)*"
-IDEOGRAPH_RUN = r"[\x{3400}-\x{9fff}]+"
-LABEL = r"(?:^|[^a-z0-9_])((?:figure|fig\.?|table|equation|eq\.?)\s*[a-z0-9.-]+)|((?:图|表|公式)\s*[a-z0-9.-]+)"
+IDEOGRAPH = r"[\x{3400}-\x{9fff}]"
+LATIN_LABEL = r"(?<![\p{L}\p{N}_])((?:figure|fig\.?|table|equation|eq\.?)\s*[a-z0-9.-]+)"
+IDEOGRAPH_LABEL = r"((?:图|表|公式)\s*[a-z0-9.-]+)"
 WIKI_LINK = r"(?:^|[^!])\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 
 
@@ -34,16 +35,16 @@ def tokens(text: Column) -> Column:
     """
     lowered = F.lower(empty(text))
     latin = F.regexp_extract_all(lowered, F.lit(f"({LATIN_TOKEN})"), F.lit(1))
-    runs = F.regexp_extract_all(lowered, F.lit(f"({IDEOGRAPH_RUN})"), F.lit(1))
-    pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2))))
-    return F.concat(latin, F.flatten(pairs))
+    # overlapping pairs by a look-ahead, which consumes nothing
+    pairs = F.regexp_extract_all(lowered, F.lit(f"(?=({IDEOGRAPH}{IDEOGRAPH}))"), F.lit(1))
+    alone = F.regexp_extract_all(lowered, F.lit(f"(?<!{IDEOGRAPH})({IDEOGRAPH})(?!{IDEOGRAPH})"), F.lit(1))
+    return F.concat(latin, pairs, alone)
 
 
 def labels(text: Column) -> Column:
-    """The distinct labels of figures, tables and equations that a text names, without blanks."""
+    """The distinct labels of figures, tables and equations that a text names, in lower case."""
     lowered = F.lower(empty(text))
-    both = F.concat(F.regexp_extract_all(lowered, F.lit(LABEL), F.lit(1)), F.regexp_extract_all(lowered, F.lit(LABEL), F.lit(2)))
-    return F.array_distinct(F.filter(both, lambda x: x != ""))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(lowered, F.lit(p), F.lit(1)) for p in (LATIN_LABEL, IDEOGRAPH_LABEL)]))
 
 
 def excerpt(clean: Column, query_tokens: Column, limit: int = 500) -> Column:

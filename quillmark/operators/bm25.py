@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillmark.operators.order import top_rows
 
 K1, B, LABEL_BOOST, INTENT_BOOST, AUTHORITY = 1.2, 0.75, 6.0, 4.0, 0.15
-MOST_QUERIES = 20_000
+MOST_QUERIES, BATCH = 20_000, 256
 
 
 def statistics(documents: DataFrame, terms: DataFrame) -> tuple[int, float, dict[str, int]]:
@@ -58,14 +58,19 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, idf, weights, marked, visual, tabular, names = shared.value
         for whole in batches:
-            for start in range(0, len(whole), 1024):
-                pdf = whole.iloc[start : start + 1024].sort_values("doc_key", ignore_index=True)
-                tf = np.zeros((len(pdf), len(idf)))
-                for i, own in enumerate(pdf["tokens"]):
-                    np.add.at(tf[i], [number[t] for t in own if t in number], 1.0)
-                length = pdf["tokens"].map(len).to_numpy(float)
-                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / floor)) * idf
-                score = tf @ weights
+            for start in range(0, len(whole), BATCH):
+                pdf = whole.iloc[start : start + BATCH].sort_values("doc_key", ignore_index=True)
+                lists = [[number[t] for t in own if t in number] for own in pdf["tokens"]]
+                # the counts of known terms: one entry per document and term, in the order of documents
+                doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                pair, f = np.unique(doc * len(idf) + np.array([t for x in lists for t in x], np.int64), return_counts=True)
+                doc, term = pair // len(idf), pair % len(idf)
+                length = pdf["tokens"].map(len).to_numpy(float)[doc]
+                w = f * (K1 + 1) / (f + K1 * (1 - B + B * length / floor)) * idf[term]
+                score = np.zeros((len(pdf), len(names)))
+                if len(pair):
+                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    score[doc[first]] = np.add.reduceat(weights[term] * w[:, None], first, axis=0)
                 for i, own in enumerate(pdf["labels"]):
                     hit = [marked[x] for x in own if x in marked]
                     if hit:

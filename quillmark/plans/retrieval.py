@@ -35,9 +35,9 @@ def sql_tokens(x: str) -> str:
 
 
 def sql_labels(x: str) -> str:
-    pattern = r"'(?:^|[^a-z0-9_])((?:figure|fig\.?|table|equation|eq\.?)\s*[a-z0-9.-]+)|((?:图|表|公式)\s*[a-z0-9.-]+)'"
+    latin, signs = r"'(?:^|[^\p{L}\p{N}_])((?:figure|fig\.?|table|equation|eq\.?)\s*[a-z0-9.-]+)'", r"'((?:图|表|公式)\s*[a-z0-9.-]+)'"
     low = f"lower(coalesce({x}, ''))"
-    return f"list_distinct(list_filter(list_concat(regexp_extract_all({low}, {pattern}, 1), regexp_extract_all({low}, {pattern}, 2)), lambda s: s <> ''))"
+    return f"list_distinct(list_concat(regexp_extract_all({low}, {latin}, 1), regexp_extract_all({low}, {signs}, 1)))"
 
 
 def sql_mentions(x: str, words: tuple[str, str]) -> str:
