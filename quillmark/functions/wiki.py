@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import empty
 
-# fixed values: marks of the managed block, and the kinds a page may have
-MANAGED_START = "<!-- mmwiki:multimodal-evidence:start -->"
+# fixed values: the mark before the managed block, and the kinds a page may have
+MANAGED_START = r"(?s)<!-- [a-z]+:multimodal-evidence:start -->.*$"
 KINDS = ["concept", "entity", "analysis", "source", "external_markdown"]
 
 
@@ -21,7 +21,7 @@ def clean_page(text: Column, title: Column) -> Column:
     body = strip(empty(text))
     for _ in range(3):
         body = F.regexp_replace(body, r"(?s)^---\n.*?\n---[ \t]*\n?\s*", "")
-    body = F.substring_index(body, MANAGED_START, 1)
+    body = F.regexp_replace(body, MANAGED_START, "")
     body = F.regexp_replace(body, r"(?s)\n## Evidence\n.*$", "")
     head = F.lower(F.concat(F.lit("# "), empty(title)))
     lines = F.split(body, "\n")

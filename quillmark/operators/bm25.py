@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillmark.operators.order import top_rows
 
 K1, B, LABEL_BOOST, INTENT_BOOST, AUTHORITY = 1.2, 0.75, 6.0, 4.0, 0.15
-MOST_QUERIES, BATCH = 20_000, 256
+BLOCK, BATCH = 1000, 256
 
 
 def statistics(documents: DataFrame, terms: DataFrame) -> tuple[int, float, dict[str, int]]:
@@ -33,16 +33,22 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
     ``queries``: query_id, tokens, labels, visual, tabular; ``documents``: doc_key, tokens, labels, visual, tabular, extra
     (added to scores that are above 0). Score = BM25 + 6 for a shared label + 4 where both are visual + 4 where both are
     tabular; ties go to the smaller doc_key. Scores are rounded to 6 places before ranking. Documents without tokens and
-    queries without tokens match by labels and intent only. The queries (at most MOST_QUERIES, checked) go to all tasks.
+    queries without tokens match by labels and intent only. The queries are a stated set: they go to the tasks in blocks of
+    BLOCK, each of which reads the documents once.
     """
+    rows = sorted(queries.select("query_id", F.array_distinct("tokens").alias("tokens"), "labels", "visual", "tabular").collect(), key=lambda r: str(r.query_id))
+    types = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["doc_key"]
+    found = documents.sparkSession.createDataFrame([], f"query_id {types[0]}, doc_key {types[1]}, score double")
+    for start in range(0, len(rows), BLOCK):
+        part = score_block(rows[start : start + BLOCK], documents, k, types)
+        found = part if start == 0 else found.unionByName(part)
+    return top_rows(found, ["query_id"], [F.desc("score"), "doc_key"], k).select("query_id", "rank", "doc_key", "score")
+
+
+def score_block(rows: list, documents: DataFrame, k: int, types: tuple[str, str]) -> DataFrame:
+    """query_id, doc_key, score: of each batch of documents the best k for each query of a block."""
     spark = documents.sparkSession
-    rows = queries.select("query_id", F.array_distinct("tokens").alias("tokens"), "labels", "visual", "tabular").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: rank them in blocks")
-    rows.sort(key=lambda r: str(r.query_id))
-    terms = sorted({t for r in rows for t in r.tokens})
-    if not terms:
-        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, rank int, doc_key {dict(documents.dtypes)['doc_key']}, score double")
+    terms = sorted({t for r in rows for t in r.tokens}) or [""]
     n, mean, df = statistics(documents, spark.createDataFrame([(t,) for t in terms], "term string"))
     number = {t: i for i, t in enumerate(terms)}
     idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in terms])
@@ -84,25 +90,25 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
                 if good.any():
                     yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "doc_key": pdf["doc_key"].to_numpy()[best[d[good], q[good]]], "score": values[good]})
 
-    types = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["doc_key"]
-    found = documents.select("doc_key", "tokens", "labels", "visual", "tabular", "extra").mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
-    return top_rows(found, ["query_id"], [F.desc("score"), "doc_key"], k).select("query_id", "rank", "doc_key", "score")
+    return documents.select("doc_key", "tokens", "labels", "visual", "tabular", "extra").mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
 
 
 def rank_within_sources(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_key, score where each query sees the documents of its own source only.
 
     ``queries``: query_id, source_id, tokens; ``documents``: doc_key, source_id, tokens. All statistics are those of the
-    source: the filter comes before them.
+    source: the filter comes before them. What the queries ask for (terms, their frequencies in the sources asked, sizes of
+    these sources) is bounded by the stated set of queries and goes to all tasks; so a large source stays spread.
     """
     wanted = queries.select("query_id", "source_id", F.explode(F.array_distinct("tokens")).alias("term"))
     terms = wanted.select("source_id", "term").distinct()
-    sizes = documents.groupBy("source_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
+    asked = F.broadcast(terms.select("source_id").distinct())
+    sizes = documents.join(asked, "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
     counts = documents.select("source_id", "doc_key", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    counts = counts.join(terms, ["source_id", "term"], "left_semi").groupBy("source_id", "doc_key", "length", "term").agg(F.count("*").alias("f"))
+    counts = counts.join(F.broadcast(terms), ["source_id", "term"], "left_semi").groupBy("source_id", "doc_key", "length", "term").agg(F.count("*").alias("f"))
     df = counts.groupBy("source_id", "term").agg(F.count("*").alias("df"))
     f, n, d = F.col("f").cast("double"), F.col("n"), F.col("df")
     weight = F.log(1 + (n - d + 0.5) / (d + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("mean"), F.lit(1.0))))
-    scored = counts.join(df, ["source_id", "term"]).join(sizes, "source_id").select("source_id", "term", "doc_key", weight.alias("w"))
-    total = wanted.join(scored, ["source_id", "term"]).groupBy("query_id", "doc_key").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = counts.join(F.broadcast(df), ["source_id", "term"]).join(F.broadcast(sizes), "source_id").select("source_id", "term", "doc_key", weight.alias("w"))
+    total = scored.join(F.broadcast(wanted), ["source_id", "term"]).groupBy("query_id", "doc_key").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_rows(total, ["query_id"], [F.desc("score"), "doc_key"], k).select("query_id", "rank", "doc_key", "score")

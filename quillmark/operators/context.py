@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import empty, item_text
 from quillmark.operators.order import positions, running_sum, top_rows
+from quillmark.operators.skew import hot_keys, salted_left_join
 from quillmark.sources.tables import earliest
 
 PARAGRAPHS = ["paragraph", "page_aside_text", "page_footnote"]
@@ -84,15 +85,16 @@ def neighbours(placed: DataFrame, longest: int = 80) -> DataFrame:
     return joined.where(F.col("page_start").eqNullSafe(F.col("page2")) & (F.col("section") == F.col("section2"))).select("source_id", "item_id", "neighbour_id", "side")
 
 
-def sections(items: DataFrame) -> DataFrame:
+def sections(items: DataFrame, total: int = 0) -> DataFrame:
     """Membership of items in sections (same source, page and breadcrumb): section_id, members, source_id, item_id.
 
-    Siblings are the items of one section; they are given as groups, not as pairs.
+    Siblings are the items of one section; they are given as groups, not as pairs. Very large sections are spread over
+    several tasks (``total``: number of items, if known).
     """
     key = F.sha2(F.concat_ws("\n", "source_id", F.coalesce(F.col("page_start").cast("string"), F.lit("")), empty(F.col("breadcrumb"))), 256)
     tagged = items.select("source_id", "item_id", key.alias("section_id"))
     sizes = tagged.groupBy("section_id").agg(F.count("*").alias("members"))
-    return tagged.join(sizes, "section_id")
+    return salted_left_join(tagged, sizes, ["section_id"], hot_keys(tagged, ["section_id"], total), "item_id")
 
 
 def visual_context(placed: DataFrame, reach: int = 3, budget: int = 1200) -> DataFrame:

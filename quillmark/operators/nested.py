@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 #: record, kind of child, position of the parent and of the child, the value as JSON text
 CHILD_SCHEMA = "raw_id bigint, child string, parent_pos int, pos int, value string"
 OPEN, CLOSE, COMMA, COLON = 1, 2, 3, 4
+BLOCK_BYTES = 1 << 20
 CODES = np.zeros(256, np.uint8)
 for _bytes, _code in ((b"{[", OPEN), (b"}]", CLOSE), (b",", COMMA), (b":", COLON)):
     for _b in _bytes:
@@ -213,14 +214,17 @@ def children_of(texts: list[str | None]) -> list[tuple[int, str, int, int, str]]
 def flatten_records(records: DataFrame, key: str = "raw_id", text: str = "record") -> DataFrame:
     """Linked child rows of nested records: CHILD_SCHEMA, one row per child.
 
-    A map over Arrow batches without a shuffle; a task holds one batch at a time.
+    A map over Arrow batches without a shuffle; records are indexed together up to BLOCK_BYTES, a longer one by itself.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["raw_id"].tolist()
-            rows = children_of(batch["record"].tolist())
-            yield pd.DataFrame([(keys[i], c, p, n, v) for i, c, p, n, v in rows], columns=["raw_id", "child", "parent_pos", "pos", "value"])
+            keys, texts = batch["raw_id"].tolist(), batch["record"].tolist()
+            block = np.cumsum([len(t or "") for t in texts]) // BLOCK_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                rows = children_of(texts[a:b])
+                yield pd.DataFrame([(keys[a + i], c, p, n, v) for i, c, p, n, v in rows], columns=["raw_id", "child", "parent_pos", "pos", "value"])
 
     return records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("raw_id"), F.col(text).alias("record")).mapInPandas(run, CHILD_SCHEMA)
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = "mmwiki-0.1"  # fixed value: the version that a manifest must name
 ASSET = "struct<asset_id:string,path:string,media_type:string,mime_type:string,sha256:string,source_path:string>"
 ITEM = (
     "item_id string, sequence string, type string, page_start string, page_end string, bbox string, breadcrumb string, content struct<raw_text:string,caption:string,search_text:string,"
@@ -66,14 +65,14 @@ def read_packages(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {"packages": packages, "items": items, "chunks": chunks.withColumns(once), "assets": assets}
 
 
-def package_problems(tables: dict[str, DataFrame]) -> DataFrame:
-    """package, rule, detail: everything that makes a package unfit."""
+def package_problems(tables: dict[str, DataFrame], schema_version: str) -> DataFrame:
+    """package, rule, detail: everything that makes a package unfit; its manifest must name ``schema_version``."""
     p, i, c, a = (tables[t] for t in ("packages", "items", "chunks", "assets"))
     say = lambda df, rule, detail: df.select("package", F.lit(rule).alias("rule"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
     twice = lambda df, key: df.groupBy("package", key).count().where("count > 1")
     item_assets = i.select("package", F.explode("asset_ids").alias("id"))
     checks = [
-        say(p.where(F.coalesce(F.col("schema_version") != SCHEMA_VERSION, F.lit(True))), "schema_version", F.col("schema_version")),
+        say(p.where(F.coalesce(F.col("schema_version") != schema_version, F.lit(True))), "schema_version", F.col("schema_version")),
         say(p.where(F.coalesce(F.col("package_id").rlike(r"[/\\@# ]") | (F.col("package_id") == ""), F.lit(True))), "package_id", F.col("package_id")),
         say(i.where("broken"), "broken_line", F.col("line_no")),
         say(twice(i.where("not broken"), "item_id"), "repeated_item", F.col("item_id")),

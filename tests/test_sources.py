@@ -10,7 +10,7 @@ from quillmark.sources import blocks, documents, packages, sinks
 from quillmark.streaming.ingest import stream_upsert
 
 
-def package(root, name, items, chunks, assets, version="mmwiki-0.1"):
+def package(root, name, items, chunks, assets, version="v-1"):
     d = root / name
     d.mkdir(parents=True)
     (d / "manifest.json").write_text(json.dumps({"schema_version": version, "package_id": name, "document": {"title": name, "source": {"filename": "f.pdf", "media_type": "application/pdf"}}, "parser": {"name": "p", "version": "1"}}, indent=1))
@@ -30,7 +30,7 @@ def test_packages(spark, tmp_path):
     assert rows["good", "i2"].line_no == 3 and rows["good", "i2"].item_type == "text" and rows["good", "i2"].searchable
     assert {(r.package, r.asset_id, r.media_type) for r in t["assets"].collect()} == {("good", "a1", "image/png"), ("good", "a2", None), ("bad", "a1", "x/y")}
     assert t["chunks"].where("package = 'good'").first().item_ids == ["i1"]
-    found = {(r.package, r.rule) for r in packages.package_problems(t).collect()}
+    found = {(r.package, r.rule) for r in packages.package_problems(t, "v-1").collect()}
     assert found == {("bad", r) for r in ("schema_version", "broken_line", "repeated_item", "item_without_asset", "chunk_without_item")}
 
 
