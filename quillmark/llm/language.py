@@ -31,7 +31,7 @@ from quillmark.session import cut_lineage
 from quillmark.sources.tables import earliest
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ja")
-ORDER, SAMPLE, LEAST_LETTERS, SURE_BITS = 4, 1500, 40, 10.0
+ORDER, SAMPLE, LEAST_LETTERS, SURE_BITS, MOST_WORDS = 4, 1500, 40, 10.0, 500_000
 # fixed values: codes and names of the languages
 NAMES = {
     "en": "en eng english anglais englisch inglés inglês 英语 英文 英語",
@@ -131,6 +131,8 @@ class Coder:
 
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths (texts x languages) and letters of each text."""
+        if len(self.row) > MOST_WORDS:  # the words of other texts; they are scored again where they return
+            self.row, self.known, self.costs = {}, {}, np.zeros_like(self.costs[: 1 << 12])
         ids: list[int] = []
         starts, letters = [], []
         row, number = self.row, self.number

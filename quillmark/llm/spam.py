@@ -107,11 +107,12 @@ def features(text: str) -> tuple[str, float, list[float]]:
         if len(found) >= 4:
             tags = sum(map(len, found))
             rest = TAG.sub("\n", rest)
-    sentence = loose = tokens = functional = 0
+    sentence = loose = tokens = functional = tabular = 0
     words: list[str] = []
     odd: list[str] = []
     for line in rest.split("\n"):
         if "|" in line and TABLE.match(line):
+            tabular += len(line.strip())
             continue
         for segment in SEGMENT.findall(line):
             own = segment.strip(" \t\r-*•·>|,;，；、/")
@@ -133,7 +134,7 @@ def features(text: str) -> tuple[str, float, list[float]]:
     bare = LOOSE_WORD.findall(joined)
     if len(bare) > 20:
         repeats = max(repeats, 1 - len(set(bare)) / len(bare))
-    total = max(1, links + tags + sentence + loose)
+    total = max(1, links + tags + sentence + loose + tabular)
     stuffed = loose if repeats > 0.45 and loose > 80 else loose if links + tags > 2 * (sentence + loose) else 0
     signs = len(SIGNS.findall(rest)) if not rest.isascii() else 0
     kana = len(KANA.findall(rest)) if signs else 0

@@ -289,3 +289,30 @@ def test_page_lines():
     assert all(map(scans.is_page_number, yes)) and not any(map(scans.is_page_number, no))
     assert scans.key("Intemal draft") == scans.key("Internal draft") == scans.key("INTERNAL  DRAFT")
     assert scans.broken("the inspect-", "ion was") == ("inspect", "ion") and scans.broken("both in-", "and out") is None and scans.broken("1-", "2") is None
+
+
+def test_word_sums_in_parts():
+    texts = ["the sur-\nvey of the report", "12\nthe 报告由库存 report", "", "x\n\ny"]
+
+    def counts(groups):
+        out = {}
+        for group in groups:
+            sums = scans.WordSums()
+            for text in group:
+                sums.add([text], [False])
+            for frame in sums.frames():
+                for word, n in zip(frame["word"], frame["n"], strict=True):
+                    out[word] = out.get(word, 0) + n
+        return out
+
+    assert counts([texts]) == counts([[t] for t in texts])
+    assert counts([texts])["survey"] == 1 and counts([texts])["the"] == 3 and counts([texts])["由库"] == 2 and "12" not in counts([texts])
+
+
+def test_language_cache_may_be_dropped(monkeypatch):
+    c = coder()
+    want, _ = c.lengths(list(TEXTS.values()))
+    monkeypatch.setattr(language, "MOST_WORDS", 3)
+    for _ in range(2):
+        got, _ = c.lengths(list(TEXTS.values()))
+        assert np.allclose(got, want)
