@@ -20,11 +20,17 @@ K1, B, LABEL_BOOST, INTENT_BOOST, AUTHORITY = 1.2, 0.75, 6.0, 4.0, 0.15
 BLOCK, BATCH = 1000, 256
 
 
-def statistics(documents: DataFrame, terms: DataFrame) -> tuple[int, float, dict[str, int]]:
-    """(documents, mean length, document frequency of each term) of ``documents`` (tokens)."""
-    size = documents.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    each = documents.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term")
-    return size.n, size.mean or 0.0, {r.term: r["count"] for r in each.groupBy("term").count().collect()}
+def statistics(documents: DataFrame, terms: list[str]) -> tuple[int, float, dict[str, int]]:
+    """(documents, mean length, document frequency of each term) of ``documents`` (tokens), in one pass.
+
+    A blank term that every document has counts the documents and adds up their lengths.
+    """
+    wanted = documents.sparkSession.createDataFrame([(t,) for t in {*terms, " "}], "term string")
+    each = documents.select(F.size("tokens").alias("size"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(" ")))).alias("term"))
+    rows = each.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == " ", F.col("size"))).alias("size")).collect()
+    df = {r.term: r.n for r in rows}
+    n = df.pop(" ", 0)
+    return n, next((r["size"] / r.n for r in rows if r.term == " "), 0.0), df
 
 
 def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
@@ -49,7 +55,7 @@ def score_block(rows: list, documents: DataFrame, k: int, types: tuple[str, str]
     """query_id, doc_key, score: of each batch of documents the best k for each query of a block."""
     spark = documents.sparkSession
     terms = sorted({t for r in rows for t in r.tokens}) or [""]
-    n, mean, df = statistics(documents, spark.createDataFrame([(t,) for t in terms], "term string"))
+    n, mean, df = statistics(documents, terms)
     number = {t: i for i, t in enumerate(terms)}
     idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in terms])
     weights = np.zeros((len(terms), len(rows)))
