@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.tables import spread
+
 #: record, kind of child, position of the parent and of the child, the value as JSON text
 CHILD_SCHEMA = "raw_id bigint, child string, parent_pos int, pos int, value string"
 OPEN, CLOSE, COMMA, COLON = 1, 2, 3, 4
@@ -226,7 +228,7 @@ def flatten_records(records: DataFrame, key: str = "raw_id", text: str = "record
                 rows = children_of(texts[a:b])
                 yield pd.DataFrame([(keys[a + i], c, p, n, v) for i, c, p, n, v in rows], columns=["raw_id", "child", "parent_pos", "pos", "value"])
 
-    return records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("raw_id"), F.col(text).alias("record")).mapInPandas(run, CHILD_SCHEMA)
+    return spread(records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("raw_id"), F.col(text).alias("record"))).mapInPandas(run, CHILD_SCHEMA)
 
 
 def child_table(children: DataFrame, child: str, fields: dict[str, str]) -> DataFrame:

@@ -11,6 +11,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for maps that cost far more than a shuffle of their input.
+
+    Only for plain scans: a large table already has more partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def earliest(df: DataFrame, keys: list[str], keep: list[str], moment: str = "ingested_at") -> DataFrame:
     """One row per key: the columns ``keep`` of the row with the earliest ``moment``.
 
