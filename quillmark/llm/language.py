@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.session import cut_lineage
-from quillmark.sources.tables import earliest
+from quillmark.sources.tables import earliest, spread
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ja")
 ORDER, SAMPLE, LEAST_LETTERS, SURE_BITS, MOST_WORDS = 4, 1500, 40, 10.0, 500_000
@@ -289,7 +289,7 @@ def project_segments(items: DataFrame, chunks: DataFrame) -> DataFrame:
             yield pdf.drop(columns="text").assign(segments=[[{"lang": g, "start": a, "stop": b, "letters": n, "confidence": c} for g, a, b, n, c in own] for own in found])
 
     schema = f"rec_table string, source_id string, id string, ingested_at timestamp, label string, segments {SEGMENT_TYPE}"
-    first = earliest(rows.mapInPandas(run, schema), ["rec_table", "source_id", "id"], ["label", "segments"])
+    first = earliest(spread(rows).mapInPandas(run, schema), ["rec_table", "source_id", "id"], ["label", "segments"])
     return first.select("rec_table", F.concat_ws("#", "source_id", "id").alias("rec_key"), "label", named_language(F.col("label")).alias("declared"), "segments")
 
 

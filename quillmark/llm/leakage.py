@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.tables import spread
+
 WORD = re.compile(r"[^\W_]+")
 IDEOGRAPH = re.compile("[㐀-䶿一-鿿豈-﫿]")
 LEAST_WORDS, LEAST_CHARS, BLOCK = 12, 24, 20_000
@@ -154,7 +156,7 @@ def leaked_cases(documents: DataFrame, cases: DataFrame) -> DataFrame:
                 hits = [(d, c, n, min(1.0, n / size)) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for c, (n, size) in leaks_in(t, words, chars, marked).items()]
                 yield pd.DataFrame(hits, columns=["doc_id", "case_id", "longest", "covered"])
 
-        part = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, LEAK_SCHEMA)
+        part = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInPandas(run, LEAK_SCHEMA)
         out = part if block == 0 else out.unionByName(part)
     return out.groupBy("doc_id", "case_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.session import cut_lineage
+from quillmark.sources.tables import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the pattern of the vocabulary's words (GPT-2's, published)
@@ -52,7 +53,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
         for pdf in batches:
             yield pdf.drop(columns="text").assign(tokens=[len(encode(t)) for t in pdf["text"]])
 
-    return documents.select("doc_id", "source_name", "text").mapInPandas(run, "doc_id bigint, source_name string, tokens bigint")
+    return spread(documents.select("doc_id", "source_name", "text")).mapInPandas(run, "doc_id bigint, source_name string, tokens bigint")
 
 
 def allocate(targets: dict[str, tuple[float, int]], available: dict[str, int], total: float | None = None) -> dict[str, float]:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.tables import spread
+
 FEATURES = ("loose", "links", "tags", "repeats", "sameness", "no_function")
 #: least sizes of the scales, so that a feature that is 0 nearly everywhere keeps a usable one
 FLOORS = (0.08, 0.05, 0.05, 0.15, 0.06, 0.06)
@@ -156,7 +158,7 @@ def page_features(documents: DataFrame) -> DataFrame:
                 rows.append((doc, language, share, *values))
             yield pd.DataFrame(rows, columns=["doc_id", "language", "spam_share", *FEATURES])
 
-    return documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, FEATURE_SCHEMA)
+    return spread(documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInPandas(run, FEATURE_SCHEMA)
 
 
 def shaped(features_table: DataFrame) -> DataFrame:
