@@ -92,7 +92,8 @@ def merge_parts(packages: DataFrame, items: DataFrame, group: str) -> DataFrame:
     """Items of page-split packages as items of one source per ``group``: merged_id, sequence, page_start, source_id, item_id.
 
     ``packages``: package_id and group; parts follow in the order of package_id. Pages, page numbers in item ids and
-    sequences are shifted by what the earlier parts hold; only one row per part is ordered within a group.
+    sequences are shifted by what the earlier parts hold; only one row per part is ordered within a group. Page numbers in
+    ids have four digits at least and are never cut.
     """
     from pyspark.sql import Window
 
@@ -104,7 +105,7 @@ def merge_parts(packages: DataFrame, items: DataFrame, group: str) -> DataFrame:
     joined = items.join(shifts, "source_id")
     page = F.regexp_extract("item_id", r"^item-p(\d+)-b(\d+)$", 1)
     block = F.regexp_extract("item_id", r"^item-p(\d+)-b(\d+)$", 2)
-    own = F.when(page != "", F.concat(F.lit("item-p"), F.lpad((page.cast("int") + F.col("page_shift")).cast("string"), 4, "0"), F.lit("-b"), block)).otherwise(F.col("item_id"))
+    own = F.when(page != "", F.concat(F.lit("item-p"), F.format_string("%04d", page.cast("int") + F.col("page_shift")), F.lit("-b"), block)).otherwise(F.col("item_id"))
     return joined.select(group, own.alias("merged_id"), (number + F.col("row_shift")).alias("sequence"), (F.col("page_start") + F.col("page_shift")).alias("page_start"), "source_id", "item_id")
 
 

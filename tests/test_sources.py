@@ -41,6 +41,13 @@ def test_merged_parts(spark):
     assert rows["b", "item-p0001-b0002"] == ("item-p0003-b0002", 3, 3) and rows["b", "odd"] == ("odd", 2, None) and rows["c", "item-p0001-b0001"] == ("item-p0001-b0001", 1, 1)
 
 
+def test_merged_parts_beyond_page_9999(spark):
+    p = spark.createDataFrame([("a", "g"), ("b", "g")], "package_id string, part_of string")
+    i = spark.createDataFrame([("a", "item-p12344-b0001", 1, 12344), ("b", "item-p0001-b0001", 1, 1), ("b", "item-p0002-b0001", 2, 2)], "source_id string, item_id string, sequence int, page_start int")
+    rows = {(r.source_id, r.item_id): r.merged_id for r in packages.merge_parts(p, i, "part_of").collect()}
+    assert rows == {("a", "item-p12344-b0001"): "item-p12344-b0001", ("b", "item-p0001-b0001"): "item-p12345-b0001", ("b", "item-p0002-b0001"): "item-p12346-b0001"}
+
+
 def test_blocks(spark, tmp_path):
     v2 = [[{"type": "title", "content": {"title_content": [{"content": "Head"}], "level": 1}}, {"type": "text", "text": "Body"}, "no block"], {"page_idx": 4, "blocks": [{"type": "image", "img_path": "x.png", "image_caption": ["Cap"], "bbox": [0, 0, 1, 0.5]}]}]
     flat = [{"type": "text", "text": "T", "text_level": 2, "page_idx": 0}, {"type": "text", "text": "p", "page_idx": 0}, {"type": "table", "table_body": "<table><tr><td>1</td></tr></table>", "page_idx": 1}, {"type": "header", "text": "h", "page_idx": 1}]
