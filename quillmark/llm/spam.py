@@ -2,13 +2,14 @@
 
 Each document is cut into segments (lines, sentences, links), and each segment is a sentence or not by its share of
 function words. Features of the document: density of non-sentences, links and tags, repetition within the non-sentences,
-entropy of the tokens, share of function words. Per language, medians and median absolute deviations scale the features,
-a correlation matrix of clipped scores over all documents gives the shape, and the distance of a document is taken from it.
-Documents beyond the chi-square quantile whose offset points in the spam direction are candidates; the exact rule (more
-than half of the characters in links, tags or repeated keywords) decides among them.
-
-Defined results: null and empty texts and null ids are never spam; a language with fewer than LEAST_ROWS documents is
-scaled by the statistics of all; equal texts are judged alike; documents with one id and several texts are spam if one is.
+entropy of the tokens, share of function words. Per language and over all, medians and median absolute deviations scale the
+features, a correlation matrix of clipped scores gives the shape, and the distance of a document is taken from both; each
+distinct text counts once in these statistics, however many copies there are. Documents beyond the chi-square quantile of
+their language or of all whose offset points in the spam direction are candidates; the exact rule (more than half of the
+characters in links, tags or repeated keywords) decides among them.
+
+Defined results: null and empty texts and null ids are never spam; a language with fewer than LEAST_ROWS texts has
+the statistics of all only; equal texts are judged alike; documents with one id and several texts are spam if one is.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.session import cut_lineage
 from quillmark.sources.tables import spread
 
 FEATURES = ("loose", "links", "tags", "repeats", "sameness", "no_function")
@@ -35,7 +37,7 @@ DIRECTION = np.ones(len(FEATURES))
 FAR = 22.46
 LOGS = [0.0, *map(log, range(1, 4096))]
 CLIP, LEAST_ROWS = 3.0, 200
-FEATURE_SCHEMA = "doc_id bigint, language string, spam_share double, " + ", ".join(f"{f} double" for f in FEATURES)
+FEATURE_SCHEMA = "doc_id bigint, text_hash bigint, language string, spam_share double, " + ", ".join(f"{f} double" for f in FEATURES)
 
 # fixed values: common function words
 FUNCTION_WORDS = {
@@ -153,27 +155,31 @@ def page_features(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            for doc, known, text in zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["text"].tolist(), strict=True):
                 language, share, values = features(text)
-                rows.append((doc, language, share, *values))
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "spam_share", *FEATURES])
+                rows.append((doc, known, language, share, *values))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "language", "spam_share", *FEATURES])
 
-    return spread(documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInPandas(run, FEATURE_SCHEMA)
+    return spread(documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")).mapInPandas(run, FEATURE_SCHEMA)
 
 
 def shaped(features_table: DataFrame) -> DataFrame:
     """The features with ``distance`` (squared robust Mahalanobis distance) and ``toward`` (offset along DIRECTION).
 
-    Medians, deviations and correlations are aggregates over all documents; what reaches the driver is one row per
-    language. The features table is read several times: cut its lineage before.
+    Both are those of the document's language or of all documents, whichever has it farther out in the spam direction.
+    Medians, deviations and correlations are aggregates over all distinct texts, copies combined before the shuffle; what
+    reaches the driver is one row per language. The features table is read several times: cut its lineage before.
     """
     spark = features_table.sparkSession
-    both = features_table.withColumn("group", F.explode(F.when(F.col("language") == "none", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), "language"))))
+    columns = [c for c in features_table.columns if c != "text_hash"]
+    # equal texts have equal features, so a distinct row is a distinct text
+    texts = cut_lineage(features_table.select("text_hash", "language", *FEATURES).distinct())
+    both = texts.withColumn("group", F.explode(F.when(F.col("language") == "none", F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), "language"))))
     middle = [F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]
     centres = {r.group: r for r in both.groupBy("group").agg(F.count("*").alias("n"), *middle).collect()}
     centres = {g: r for g, r in centres.items() if g == "all" or r.n >= LEAST_ROWS}
     if not centres:
-        return features_table.select("*", F.lit(0.0).alias("distance"), F.lit(0.0).alias("toward"))
+        return features_table.select(*columns, F.lit(0.0).alias("distance"), F.lit(0.0).alias("toward"))
     own = both.where(F.col("group").isin(list(centres)))
 
     def lookup(values: dict[str, float]):
@@ -195,16 +201,26 @@ def shaped(features_table: DataFrame) -> DataFrame:
         shape = shape / np.sqrt(np.outer(d := np.maximum(np.diag(shape), 1.0), d)) + 0.1 * np.eye(len(FEATURES))
         np.fill_diagonal(shape, np.maximum(np.diag(shape), 1.0))
         parameters.append((r.group, [float(centres[r.group][f]) for f in FEATURES], [scales[f][r.group] for f in FEATURES], np.linalg.inv(shape).tolist()))
-    small = F.broadcast(spark.createDataFrame(parameters, "group string, centre array<double>, scale array<double>, inverse array<array<double>>"))
+    small = spark.createDataFrame(parameters, "group string, centre array<double>, scale array<double>, inverse array<array<double>>")
     group = F.when(F.col("language").isin([g for g in centres if g != "all"]), F.col("language")).otherwise("all")
-    z = F.zip_with(F.zip_with(F.array(*FEATURES), "centre", lambda x, c: x - c), "scale", lambda x, c: x / c)
-    scored = features_table.withColumn("group", group).join(small, "group").withColumn("z", z)
+    measures = F.struct("centre", "scale", "inverse")
+    own, every = small.select("group", measures.alias("own")), small.where("group = 'all'").select(measures.alias("every"))
+    scored = features_table.withColumn("group", group).join(F.broadcast(own), "group").crossJoin(F.broadcast(every))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    distance = dot(F.transform("inverse", lambda row: dot(row, F.col("z"))), F.col("z"))
-    toward = dot(F.col("z"), F.array(*[F.lit(float(x)) for x in DIRECTION]))
-    return scored.select(*features_table.columns, distance.alias("distance"), toward.alias("toward"))
+
+    def z(m: str):
+        return F.zip_with(F.zip_with(F.array(*FEATURES), f"{m}.centre", lambda x, c: x - c), f"{m}.scale", lambda x, c: x / c)
+
+    def measured(m: str):
+        toward = dot(F.col(f"z_{m}"), F.array(*[F.lit(float(x)) for x in DIRECTION]))
+        distance = dot(F.transform(f"{m}.inverse", lambda row: dot(row, F.col(f"z_{m}"))), F.col(f"z_{m}"))
+        return F.struct((toward > 0).alias("spam"), distance.alias("distance"), toward.alias("toward"))
+
+    farther = F.greatest(measured("own"), measured("every"))
+    scored = scored.withColumn("z_own", z("own")).withColumn("z_every", z("every")).select(*columns, farther.alias("farther"))
+    return scored.select(*columns, F.col("farther.distance").alias("distance"), F.col("farther.toward").alias("toward"))
 
 
 def spam_pages(features_table: DataFrame) -> DataFrame:
-    """The spam pages: outliers in the spam direction that hold more than half of their characters as spam."""
+    """The spam pages: outliers of their language or of all in the spam direction that hold more than half of their characters as spam."""
     return shaped(features_table).where((F.col("distance") > FAR) & (F.col("toward") > 0) & (F.col("spam_share") > 0.5))

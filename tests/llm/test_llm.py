@@ -233,6 +233,26 @@ def test_spam_tables(spark):
     assert spam.spam_pages(spam.page_features(df.where("false"))).count() == 0
 
 
+def test_spam_copies_are_the_most_of_a_language(spark):
+    rng = random.Random(2)
+    nouns = ["report", "member", "board", "answer", "number", "meeting", "window", "garden", "paper", "table"]
+    prose = [" ".join(f"The {rng.choice(nouns)} of the {rng.choice(nouns)} was not in the {rng.choice(nouns)} that is on the {rng.choice(nouns)}." for _ in range(rng.randrange(3, 9))) for _ in range(900)]
+    things = ["会议", "报告", "系统", "数据", "质量", "设备", "工程", "材料"]
+    chinese = ["".join(f"{rng.choice(things)}{rng.choice(things)}的{rng.choice(things)}在{rng.choice(things)}完成后由{rng.choice(things)}部门进行检查。" for _ in range(rng.randrange(4, 9))) for _ in range(230)]
+    shops = [f"{a}{b}价格{a}{b}批发{a}{b}图片{a}{b}官网{a}{b}优惠" * 10 for a in "水油气风电热冷光声磁木石铁铜金银" for b in "泵阀管板灯机箱桶布线门窗锁柜床椅"]
+    assert spam.features(shops[0])[:1] == ("zh",) and all(spam.features(t)[1] > 0.5 for t in shops) and all(spam.features(t)[1] <= 0.5 for t in chinese + prose)
+
+    def found(pages):
+        rows = list(enumerate(prose + chinese + pages))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return {r.doc_id for r in spam.spam_pages(spam.page_features(df).cache()).collect()}
+
+    first = len(prose + chinese)
+    # one group of copies is a third of all rows and most of its language; then as many different pages
+    assert found([SPAM["zh"]] * 565) == set(range(first, first + 565))
+    assert found(shops) == set(range(first, first + len(shops)))
+
+
 # ---- scans ------------------------------------------------------------------------------------------------------------
 def noisy_tables(spark, clash=False):
     names = ["survey", "report", "committee", "department", "material", "furnace", "returns"]
