@@ -42,14 +42,24 @@ def stream_upsert(spark: SparkSession, source: str, keys: list[str], keep: list[
     return earliest(written, keys, keep, moment)
 
 
-def stream_counts(spark: SparkSession, source: str, moment: str, group: str, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """start, group, n: counts per window and group of a stream of files, with a watermark.
+def stream_counts(spark: SparkSession, source: str, moment: str, group: str, window: str = "1 day") -> DataFrame:
+    """start, group, n: counts of all rows per window and group, after streaming all files under ``source``.
 
-    A window is given once the stream is ahead of its end by ``late``, so the last windows stay open.
+    Each micro-batch writes its partial counts to a folder named by its number, so a batch that runs twice replaces itself;
+    readers add the folders up. A sum does not depend on the order of arrival, so late rows need no watermark and count as
+    any other. Rows with a null ``moment`` lie in no window.
     """
     base = f"{shared_folder(spark)}/stream-{next(tempfile._get_candidate_names())}"
-    rows = file_stream(spark, source, 4).withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, late)
-    counted = rows.groupBy(F.window(moment, window).alias("w"), group).agg(F.count("*").alias("n"))
-    counted = counted.select(F.col("w.start").alias("start"), group, "n")
-    counted.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counted.schema).parquet(f"{base}/out")
+    stream = file_stream(spark, source, 4).withColumn(moment, F.col(moment).cast("timestamp"))
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window(moment, window).alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), group, "n")
+
+    def add(batch: DataFrame, number: int) -> None:
+        count(batch).write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.schema(count(stream).schema).parquet(f"{base}/counts").groupBy("start", group).agg(F.sum("n").alias("n"))

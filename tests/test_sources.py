@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillmark.sources import blocks, documents, packages, sinks
-from quillmark.streaming.ingest import stream_upsert
+from quillmark.streaming.ingest import stream_counts, stream_upsert
 
 
 def package(root, name, items, chunks, assets, version="v-1"):
@@ -102,3 +102,13 @@ def test_stream_keeps_the_earliest(spark, tmp_path):
         spark.createDataFrame([r], "source_id string, chunk_id string, text string, at string").selectExpr("source_id", "chunk_id", "text", "cast(at as timestamp) as ingested_at").write.mode("append").parquet(str(tmp_path / "in"))
     got = stream_upsert(spark, str(tmp_path / "in"), ["source_id", "chunk_id"], ["text"], files_per_batch=1)
     assert {(r.chunk_id, r.text) for r in got.collect()} == {("a", "first"), ("b", None)}
+
+
+def test_stream_counts_every_row(spark, tmp_path):
+    days = [30, 1, 2, 29, 3, 30, 1, 15, 2, 28]  # files out of order of time, several batches
+    for n, day in enumerate(days):
+        spark.createDataFrame([(f"2024-01-{day:02d} 10:00:00", "a" if n % 2 else None)] * 2, "at string, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = stream_counts(spark, str(tmp_path / "in"), "at", "kind")
+    plain = spark.read.parquet(str(tmp_path / "in")).groupBy(F.col("at").substr(1, 10).alias("day"), "kind").count()
+    assert sorted(map(repr, got.selectExpr("cast(cast(start as date) as string) as day", "kind", "n as count").collect())) == sorted(map(repr, plain.collect()))
+    assert got.agg(F.sum("n")).first()[0] == 2 * len(days)
