@@ -1,6 +1,7 @@
 """Repair of text from scanned pages (problem 1).
 
-One pass over all texts counts the words (broken words joined over line ends) and learns a skip-gram vector for each: the
+One pass over all distinct texts counts the words (broken words joined over line ends; copies of a text and re-deliveries
+count once, so a noisy text cannot make its misreadings frequent) and learns a skip-gram vector for each: the
 full-batch gradient step of skip-gram with negative sampling from zero input vectors against fixed random output vectors,
 that is, the sum of the output vectors of the words around it, frequent ones subsampled, less the expected sum of its
 negative samples. Rare words are then linked to frequent words that differ by one plausible glyph edit and have a similar
@@ -260,7 +261,8 @@ def word_vectors(texts: DataFrame) -> DataFrame:
     """WORD_SCHEMA: counts and skip-gram sums of all words, and counts of sign pairs (vectors 0).
 
     Each task adds up its own texts, so the shuffle carries a row per task and distinct word; a task that meets more than
-    MOST_WORDS of them passes its sums on and starts anew. ``texts``: text, keep.
+    MOST_WORDS of them passes its sums on and starts anew. ``texts``: text, keep. Each distinct text counts once; copies
+    are combined before the shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +274,8 @@ def word_vectors(texts: DataFrame) -> DataFrame:
                 sums = WordSums()
         yield from sums.frames()
 
-    return texts.select("text", "keep").mapInPandas(run, WORD_SCHEMA).groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), *[F.sum(v).alias(v) for v in VECTOR])
+    distinct = texts.groupBy("text").agg(F.min("keep").alias("keep"))
+    return distinct.mapInPandas(run, WORD_SCHEMA).groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), *[F.sum(v).alias(v) for v in VECTOR])
 
 
 def links(vocabulary: DataFrame) -> DataFrame:

@@ -284,6 +284,18 @@ def test_scans(spark, clash):
     assert all(not r.events for k, r in by.items() if re.fullmatch(r"s#i[1-9]\d?", k[1]))
 
 
+def test_scan_copies_count_once(spark):
+    items, cache, packages, assets = noisy_tables(spark)
+    copy = "the committec was kept\nby the comrnittee of the furnacc"
+    more = spark.createDataFrame([("s", f"copy{n}", NOW, "paragraph", copy) for n in range(60)], items.schema)
+    got = {r.rec_key: r for r in scans.read_scans(items.unionByName(more), cache, packages, assets, repair=True).collect()}
+    for n in range(60):
+        assert {(e.line_no, e.noise) for e in got[f"s#copy{n}"].events} == {(1, "char"), (2, "char")}
+        assert got[f"s#copy{n}"].repaired == "the committee was kept by the committee of the furnace"
+    words = {r.word: r.n for r in scans.word_vectors(items.unionByName(more).select(F.col("raw_text").alias("text"), F.lit(False).alias("keep")).where("text <> ''")).collect()}
+    assert words["committec"] == words["comrnittee"] == 1
+
+
 def test_scan_links_in_blocks_agree(spark, monkeypatch):
     tables = noisy_tables(spark)
     get = lambda: {(r.rec_key, e.line_no, e.noise) for r in scans.read_scans(*tables).collect() for e in r.events}
