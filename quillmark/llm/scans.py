@@ -483,11 +483,45 @@ def scanned_texts(items: DataFrame, cache: DataFrame, packages: DataFrame, asset
     return a.unionByName(b), shared
 
 
+def known_keys(everywhere: set[int], keys) -> set[int]:
+    """The keys of the lines that are furniture in one text."""
+    return everywhere.union(keys.tolist()) if len(keys) else everywhere
+
+
+def with_own_links(texts: DataFrame, found: DataFrame, vocabulary: DataFrame, shared: set[int]) -> DataFrame:
+    """texts with the links of their own words as arrays ``words`` and ``rights`` (null where there are none).
+
+    The words that a text may look up are joined with the links by shuffle, once per distinct text; the commonest words
+    without a link are left out before. Texts with very many copies are spread over the tasks of the last join.
+    """
+    plain = vocabulary.select("word", "n").join(found, "word", "left_anti").orderBy(F.desc("n"), "word").limit(MOST_WORDS)
+    model = texts.sparkSession.sparkContext.broadcast(({r.word for r in plain.collect()}, shared))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, everywhere = model.value
+        for pdf in batches:
+            rows = set()
+            for own, text, keep, keys in zip(pdf["text_hash"], pdf["text"], pdf["keep"], pdf["keys"], strict=True):
+                lines, _, breaks = layout(text, known_keys(everywhere, keys), keep)
+                words = {w for line in lines for w in WORD.findall(line)}
+                for _, a, b in breaks.values():
+                    words |= {a, b, a + b}
+                rows.update((own, w) for w in words - common)
+            yield pd.DataFrame(list(rows), columns=["text_hash", "word"])
+
+    marked = texts.withColumn("text_hash", F.xxhash64("text"))
+    pairs = marked.select("text_hash", "text", "keep", "keys").mapInPandas(run, "text_hash bigint, word string").distinct()
+    lists = pairs.join(found, "word").groupBy("text_hash").agg(F.collect_list(F.struct("word", "right")).alias("own"))  # the words of one text at most
+    hot = hot_keys(marked, ["text_hash"], texts.count())
+    joined = salted_left_join(marked, lists, ["text_hash"], hot, "rec_key")
+    return joined.select(*texts.columns, F.col("own.word").alias("words"), F.col("own.right").alias("rights"))
+
+
 def read_scans(items: DataFrame, cache: DataFrame, packages: DataFrame, assets: DataFrame, repair: bool = False) -> DataFrame:
     """Per record: rec_table, rec_key, events, and the repaired text if asked for.
 
-    Links go to the tasks in blocks of at most MOST_LINKS words (one block unless the corpus is vast); the events of all
-    blocks count.
+    Every text is read once with all links of its words: up to MOST_LINKS they are broadcast, beyond that each text gets
+    its own by a join.
     """
     texts, shared = scanned_texts(items, cache, packages, assets)
     spark = texts.sparkSession
@@ -495,28 +529,27 @@ def read_scans(items: DataFrame, cache: DataFrame, packages: DataFrame, assets:
     found = cut_lineage(links(vocabulary).select("word", "right"))
     # pairs with one of the few confusable signs: bounded by their number times the ideographs there are
     pairs = {r.word: r.n for r in vocabulary.where(F.length("word") == 2).where(F.col("word").rlike(f"[{SIGN}]")).select("word", "n").collect()}
-    blocks = max(1, -(-found.count() // MOST_LINKS))
     schema = f"rec_table string, rec_key string, ingested_at timestamp, events {EVENT_TYPE}, repaired string"
-    out = None
-    for block in range(blocks):
-        part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block)
-        model = spark.sparkContext.broadcast(({r.word: r.right for r in part.collect()}, pairs, shared))
-
-        def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            right, known, everywhere = model.value
-            reader = Reader(right, known)
-            for pdf in batches:
-                events, repaired = [], []
-                for text, keep, keys in zip(pdf["text"], pdf["keep"], pdf["keys"], strict=True):
-                    e, t = reader.read(text, everywhere.union(keys.tolist()) if len(keys) else everywhere, keep, repair)
-                    events.append([{"line_no": n, "noise": k} for n, k in e])
-                    repaired.append(t)
-                yield pdf[["rec_table", "rec_key", "ingested_at"]].assign(events=events, repaired=repaired)
-
-        own = texts.mapInPandas(run, schema)
-        out = own if out is None else out.unionByName(own)
+    vast = found.count() > MOST_LINKS
+    if vast:
+        texts = with_own_links(texts, found, vocabulary, shared)
+    model = spark.sparkContext.broadcast(({} if vast else {r.word: r.right for r in found.collect()}, pairs, shared))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        right, known, everywhere = model.value
+        reader = Reader(right, known)
+        for pdf in batches:
+            events, repaired = [], []
+            for n, (text, keep, keys) in enumerate(zip(pdf["text"], pdf["keep"], pdf["keys"], strict=True)):
+                if vast:
+                    words = pdf["words"].iat[n]
+                    reader.right = {} if words is None else dict(zip(words, pdf["rights"].iat[n], strict=True))
+                e, t = reader.read(text, known_keys(everywhere, keys), keep, repair)
+                events.append([{"line_no": at, "noise": k} for at, k in e])
+                repaired.append(t)
+            yield pdf[["rec_table", "rec_key", "ingested_at"]].assign(events=events, repaired=repaired)
+
+    out = texts.mapInPandas(run, schema)
     if not repair:
         out = out.where(F.size("events") > 0)
-    if blocks > 1:
-        return out.groupBy("rec_table", "rec_key").agg(F.array_distinct(F.flatten(F.collect_list("events"))).alias("events"), F.max("repaired").alias("repaired"))
     return earliest(out, ["rec_table", "rec_key"], ["events", "repaired"])

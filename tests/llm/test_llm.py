@@ -305,6 +305,17 @@ def test_scan_links_in_blocks_agree(spark, monkeypatch):
     assert get() == whole
 
 
+def test_scan_links_beyond_the_broadcast_repair_alike(spark, monkeypatch):
+    items, cache, packages, assets = noisy_tables(spark)
+    wrong = "the rnaterial of the furnacc was checked\nby the comrnittee and the departrnent\nof the rcport and the retums and the rnate-\nrial"
+    more = spark.createDataFrame([("s", f"wrong{n}", NOW, "paragraph", wrong) for n in range(3)], items.schema)
+    get = lambda: {r.rec_key: (sorted((e.line_no, e.noise) for e in r.events), r.repaired) for r in scans.read_scans(items.unionByName(more), cache, packages, assets, repair=True).collect()}
+    whole = get()
+    assert whole["s#wrong0"][1] == "the material of the furnace was checked by the committee and the department of the report and the returns and the material"
+    monkeypatch.setattr(scans, "MOST_LINKS", 1)
+    assert get() == whole
+
+
 def test_scans_of_empty_tables(spark):
     assert scans.read_scans(*[d.where("false") for d in noisy_tables(spark)]).count() == 0
 
