@@ -51,7 +51,7 @@ def broken_records(spark, folder):
 @add("search_texts", f"WITH {rt.ITEMS} SELECT source_id, item_id, array_to_string(list_filter(list_concat([coalesce(breadcrumb, ''), coalesce(nullif(raw_text, ''), caption, '')], coalesce(flatten(list_transform(table_rows[1:12], lambda r: list_transform(r[1:12], lambda c: coalesce(c, '')))), [])), lambda x: x <> ''), ' ') AS search_text FROM items")
 def search_texts(spark, folder):
     i = rt.items_of(spark, folder, ["breadcrumb", "raw_text", "caption", "table_rows"])
-    cells = F.flatten(F.transform(F.slice("table_rows", 1, 12), lambda r: F.transform(F.slice(r, 1, 12), tx.empty)))
+    cells = F.flatten(F.transform("table_rows", lambda r: F.transform(r, tx.empty)))
     parts = F.concat(F.array(tx.empty(F.col("breadcrumb")), tx.filled(F.col("raw_text"), F.col("caption"))), F.coalesce(cells, F.array().cast("array<string>")))
     return i.select("source_id", "item_id", F.array_join(F.filter(parts, lambda x: x != ""), " ").alias("search_text"))
 

@@ -1,5 +1,6 @@
 """Readers, writers and streams on files."""
 
+import datetime
 import io
 import json
 import zipfile
@@ -64,6 +65,16 @@ def test_blocks(spark, tmp_path):
     assert [r.coordinate_system for r in rows][2] == "normalized_1" and rows[5].search_text == "T 1" and rows[2].raw_ref == "content_list_v2[1][0]"
 
 
+def test_all_cells_of_tables_are_searched(spark, tmp_path):
+    from quillmark.plans import ingest
+
+    cells = [[f"r{i}c{j}" for j in range(14)] for i in range(14)]
+    words = [c for row in cells for c in row]
+    rows = [("s", "i", datetime.datetime(2024, 1, 1), "Head", None, None, cells)]
+    spark.createDataFrame(rows, "source_id string, item_id string, ingested_at timestamp, breadcrumb string, raw_text string, caption string, table_rows array<array<string>>").write.parquet(str(tmp_path / "package_items.parquet"))
+    assert ingest.search_texts(spark, str(tmp_path)).first().search_text.split(" ") == ["Head", *words]
+
+
 def test_markdown_and_sheets(spark, tmp_path):
     (tmp_path / "w").mkdir()
     (tmp_path / "w/a.md").write_text("![alt](img/x.png) ![](http://h/y.png) ![z](../up.png) ![q](n.txt)")
