@@ -17,12 +17,8 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(project_orphans(spark, folder))
 
 
-def _children(spark: SparkSession, folder: str) -> DataFrame:
-    return flatten_records(table(spark, folder, "raw_items"))
-
-
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _children(spark, folder).select("raw_id", "child", "parent_pos", "pos").distinct()
+    return flatten_records(table(spark, folder, "raw_items"), values=False).select("raw_id", "child", "parent_pos", "pos").distinct()
 
 
 #: flat table -> (child, columns as JSON paths)
@@ -39,7 +35,7 @@ CHILD_TABLES = {
 
 def _child_query(name: str):
     child, fields = CHILD_TABLES[name]
-    return lambda spark, folder: child_table(_children(spark, folder), child, fields)
+    return lambda spark, folder: child_table(flatten_records(table(spark, folder, "raw_items"), kinds=(child,)), child, fields)
 
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found} | {n: _child_query(n) for n in CHILD_TABLES}

@@ -5,7 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 from quillmark.operators import references as refs
-from quillmark.operators.nested import children_of, flatten_records
+from quillmark.operators.nested import KINDS, NAMES, Flattening, StructuralIndex, flatten_records
 from quillmark.operators.skew import hot_keys, salted_left_join
 
 DAY = datetime(2024, 1, 1)
@@ -83,9 +83,17 @@ def get(value, key):
     return value.get(key) if isinstance(value, dict) else None
 
 
+def children_of(texts):
+    return list(Flattening(KINDS, True).run(texts).itertuples(index=False, name=None))
+
+
+def no_constant(name):
+    raise ValueError(name)
+
+
 def brute(text):
     try:
-        r = json.loads(text)
+        r = json.loads(text, parse_constant=no_constant)
     except (ValueError, TypeError):
         return set()
     out = {("region", 0, p) for p, _ in elements(get(get(r, "bbox"), "regions"))}
@@ -132,3 +140,46 @@ def test_nested_edge_cases(spark):
     assert got == [(4, "region", 0, 1), (4, "region", 0, 1), (5, "step", 0, 1), (6, "entity", 0, 2), (6, "mention", 2, 1)]
     assert flatten_records(df.where("false")).count() == 0
     assert children_of([]) == []
+
+
+def test_nested_grammar_against_a_parser():
+    rng = random.Random(11)
+    texts = ["", " ", "null", "-0", "01", "1.", "1e5", '"a\tb"', '"\\u12g4"', '"\\x"', "NaN", "[1,]", '{"a":1,}', '{"a" 1}', '{1:2}', "[1 2]", "{}{}", '{"a":{"b":[]}}x', '["a":1]', '{"a","b"}', "[}", "]", '"', '\\"', "tru", "[true,false,null]", "\ufeff1", "[\v1]"]
+    base = [json.dumps(random_value(rng, 4)) for _ in range(300)]
+    for t in base * 6:
+        t = list(t)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(3)] = rng.choice(['"', "\\", "{", "}", "[", "]", ",", ":", " ", "1", "e", "-", "n", "\n", ""])
+        texts.append("".join(t))
+
+    def valid(t):
+        try:
+            json.loads(t, parse_constant=no_constant)
+        except ValueError:
+            return False
+        return True
+
+    got = StructuralIndex([t.encode() for t in texts], NAMES).valid
+    assert [t for t, g in zip(texts, got, strict=True) if bool(g) != valid(t)] == []
+    assert 300 < sum(got) < len(texts)
+    assert [bool(StructuralIndex([t.encode()], NAMES).valid[0]) for t in texts[:200]] == [valid(t) for t in texts[:200]]
+
+
+def test_nested_has_no_greatest_depth():
+    n = 100_000
+    deep = '{"provenance": {"steps": [{"warnings": [' + "[" * n + "]" * n + "]}]}}"
+    in_text = '"x"'
+    for _ in range(12):
+        in_text = json.dumps(in_text)
+    texts = [deep, deep[:-1], json.dumps({"bbox": json.dumps({"regions": json.dumps([1, None, 2])}), "x": in_text})]
+    assert {r[:4] for r in children_of(texts)} == {(0, "step", 0, 1), (0, "warning", 1, 1), (2, "region", 0, 1), (2, "region", 0, 3)}
+
+
+def test_nested_kinds_and_places():
+    record = json.dumps({"content": json.dumps({"semantic": {"entities": [{"mentions": [{}, {}]}]}}), "semantic": {"entities": [1, 2, 3]}})
+    other = json.dumps({"content": {"semantic": None}, "semantic": {"entities": [{"mentions": {}}, 2]}})
+    got = {r[:4] for r in children_of([record, other])}
+    assert got == {(0, "entity", 0, 1), (0, "mention", 1, 1), (0, "mention", 1, 2), (1, "entity", 0, 1), (1, "entity", 0, 2), (1, "mention", 1, 1)}
+    only = Flattening(("mention",), False).run([record, other])
+    assert set(zip(only["record"], only["child"], only["parent_pos"], only["pos"], strict=True)) == {r for r in got if r[1] == "mention"}
