@@ -6,7 +6,7 @@ probability (method C). Contexts begin at a word (for ideographs and kana: at th
 length of a sentence is the sum over its words, and each distinct word is scored once per task. A sentence goes to the
 language with the shortest code; adjacent sentences of one language form segments.
 
-Training: at most SAMPLE labelled rows per language (chosen by hash, so alike at every size), counted per language on the
+Training: at most about SAMPLE distinct labelled texts per language (chosen by hash, so alike at every size), counted per language on the
 executors; sentences whose words vote for another language (mislabelled or mixed rows) are left out of the trees.
 
 Defined results: null, empty and letterless texts have no segment; null, blank and unknown labels name no language; a
@@ -51,7 +51,7 @@ FIRST_SIGN = re.compile(f"[{SIGN}]")
 END = re.compile(
     r"(?:[.!?…]+[\"'”’»)\]」』]*(?=\s|[「『“«《]|[" + SIGN + r"]))\s*|[。！？]+[”’」』）]*\s*|\n\s*\n\s*|(?<=[^\s" + SIGN + r",;\-])\n(?=[^\Wa-zß-öø-ÿ_])|\n(?=[-*•|#>])|(?<=[|:：])\n"
 )
-QUOTED = re.compile(r"「[^」\n]{0,160}」|『[^』\n]{0,160}』|《[^》\n]{0,160}》|“[^”\n]{0,160}”|«[^»\n]{0,160}»|„[^“”\n]{0,160}[“”]|\"[^\"\n]{0,160}\"")
+QUOTED = re.compile(r"「[^「」\n]*」|『[^『』\n]*』|《[^《》\n]*》|“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|\"[^\"\n]*\"")
 
 
 def named_language(label: Column) -> Column:
@@ -73,14 +73,14 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
-def steps(token: str) -> list[tuple[bytes, int]]:
+def steps(token: str) -> Iterator[tuple[bytes, int]]:
     """(context, byte) of each byte that a token pays for."""
     if len(token) == 2 and FIRST_SIGN.match(token[1]):
         before, own = token[0].encode(), token[1].encode()
     else:
         before, own = b" ", (token + " ").encode("utf-8", "replace")
     text = before + own
-    return [(text[max(0, i - ORDER) : i], text[i]) for i in range(len(before), len(text))]
+    return ((text[max(0, i - ORDER) : i], text[i]) for i in range(len(before), len(text)))
 
 
 def count_contexts(words: Counter) -> dict[bytes, dict[int, int]]:
@@ -126,7 +126,7 @@ class Coder:
             n = self.row[token] = len(self.row)
             if n >= len(self.costs):
                 self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
-            self.costs[n] = sum(self.byte(c, b) for c, b in steps(token)) if len(token) <= 200 else 0
+            self.costs[n] = sum(self.byte(c, b) for c, b in steps(token))
         return n
 
     def lengths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +214,13 @@ def segments_of(texts: list[str], coder: Coder) -> list[list[tuple[str, int, int
 
 
 def training_rows(labelled: DataFrame) -> DataFrame:
-    """At most about SAMPLE rows per language of ``labelled`` (lang, text), chosen by a hash of the text."""
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    """At most about SAMPLE distinct texts per language of ``labelled`` (lang, text), chosen by a hash of the text."""
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return labelled
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE / n))])[F.col("lang")]
-    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    # copies of a text are chosen together and combined before the shuffle
+    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).distinct()
 
 
 def word_votes(counts: dict[str, Counter]) -> dict[str, dict[str, float]]:

@@ -203,6 +203,27 @@ def test_ranks_of_slots(spark):
         total += 1 + i % 3
 
 
+def test_cleaned_texts_leak_nothing(spark, data, monkeypatch):
+    import unicodedata
+
+    item = "Où était l'été passé quand Zoë a préféré étudier à côté du café près d'ici déjà"
+    zh = "总体来看煦禾研究所在珩岭分厂抽取了四十个样本用来评估风沙防护的实际效果"
+    half = item.split()
+    cases = spark.createDataFrame([("f", item, None), ("z", zh, "x"), ("e", "one two three four five six seven eight nine ten eleven twelve thirteen", None)], "id string, question string, expected_answer string")
+    wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in "one two three four five six seven eight nine ten eleven twelve")
+    texts = [item, unicodedata.normalize("NFD", item), unicodedata.normalize("NFD", item).upper() + "x" * 99, wide + " and more of it", "前言。" + zh[:12] + "，\n" + zh[12:] + "。后记" * 30, " ".join(half[:8]) + " " + item + " " + " ".join(half[8:]) + " fin" * 90, "nothing here", "ﾊﾟ" + item]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (1, 20_000):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        rows = {r.doc_id: r for r in leakage.without_leaks(docs, cases).collect()}
+        assert set(rows) == {0, 1, 2, 3, 4, 5, 7} and all(r.n_spans for r in rows.values())
+        kept = spark.createDataFrame([(i, r.kept_text) for i, r in rows.items()], "doc_id bigint, text string")
+        assert leakage.leaked_cases(kept, cases).count() == 0
+        assert rows[4].kept_text.startswith("前言") and rows[4].kept_text.endswith("后记") and "fin" in rows[5].kept_text
+    found = queries.p6_clean(spark, data).withColumnRenamed("kept_text", "text")
+    assert leakage.leaked_cases(found, spark.read.parquet(f"{data}/eval_cases.parquet")).count() == 0 and found.count()
+
+
 # ---- spam -------------------------------------------------------------------------------------------------------------
 PROSE = "The committee met in the morning and decided that the report should be published. It was not clear whether the members of the board would agree with it."
 SPAM = {
@@ -215,6 +236,22 @@ SPAM = {
 }
 
 
+def test_long_words_and_quotes_have_a_language():
+    c = coder()
+    run_on = re.sub("[^a-zäöüß]", "", TEXTS["de"].lower()) * 3
+    assert len(run_on) > 240
+    assert [s[0] for s in language.segments_of([run_on], c)[0]] == ["de"]
+    quote = (TEXTS["de"].rstrip(".") + ", " + TEXTS["de"].rstrip(".")).replace("\n", " ")
+    assert len(quote) > 160
+    assert [s[0] for s in language.segments_of([TEXTS["en"] + " It was called “" + quote + "” in the report of that year and in all the others."], c)[0]] == ["en"]
+
+
+def test_sample_takes_each_text_once(spark):
+    rows = [("en", "the same text in very many copies of one row")] * 3000 + [("en", f"text number {i} of this table") for i in range(500)]
+    sample = language.training_rows(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert len(sample) == len(set(sample)) and 450 <= len(sample) <= 501
+
+
 @pytest.mark.parametrize("kind", sorted(SPAM))
 def test_spam_share(kind):
     assert spam.features(SPAM[kind])[1][0] > 0.5
