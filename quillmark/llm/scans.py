@@ -1,14 +1,16 @@
 """Repair of text from scanned pages (problem 1).
 
-One pass over all distinct texts counts the words (broken words joined over line ends; copies of a text and re-deliveries
-count once, so a noisy text cannot make its misreadings frequent) and learns a skip-gram vector for each: the
-full-batch gradient step of skip-gram with negative sampling from zero input vectors against fixed random output vectors,
-that is, the sum of the output vectors of the words around it, frequent ones subsampled, less the expected sum of its
-negative samples. Rare words are then linked to frequent words that differ by one plausible glyph edit and have a similar
-vector; ideographs are judged by the pairs they form with both neighbours. A second pass reads each text with these links:
-it marks running headers, footers and page numbers (page patterns, and the header and footer items of the package compared
-on a glyph skeleton), words broken by hyphens, and misrecognised characters; the repaired text drops the furniture, joins
-the broken words, replaces the linked words and reflows the lines into paragraphs.
+The distinct texts are read as words once (broken words joined over line ends; copies of a text and re-deliveries count
+once, so a noisy text cannot make its misreadings frequent). Skip-gram vectors with negative sampling are learned from
+them: tasks count how often the CONTEXTS commonest words stand near each other, the vectors of these words are trained on
+that bounded table by full-batch gradient steps, and a second pass gives every word, however rare, its vector: the sum of
+the learned output vectors around it less the expected sum of its negative samples, mapped to the trained space by least
+squares. Rare words are linked to the frequent words one plausible glyph edit away, with the cosine of their vectors. At
+each occurrence the words around it decide: a linked word is replaced by the candidate of the best log odds in its context,
+if nothing speaks against that one, and for words whose vectors differ (a word of its own that is also a misreading) only if
+the word itself has no better odds by its other occurrences. Ideographs are judged by the pairs they form with both
+neighbours. Then running headers, footers and page numbers are marked (page patterns, and the header and footer items of
+the package compared on a glyph skeleton) and removed, broken words joined and lines reflowed into paragraphs.
 
 Defined results: null and empty texts have no rows and keep their value; a text of one line is never furniture; blank lines
 are body and end paragraphs; texts without noise come out as they are; of re-delivered records the earliest counts; equal
@@ -33,9 +35,12 @@ from quillmark.sources.tables import earliest, spread
 
 FRAME_TYPES = ["page_header", "page_footer", "page_number"]
 KEEP_LINES = ["title", "table", "equation"]  # types whose lines are never running headers
-DIMENSIONS, WINDOW, NEGATIVE, COMMON = 16, 2, 1.0, 1e-3
-RATIO, LEAST_COUNT, LEAST_COSINE, SURE_RATIO, PAIR_RATIO = 8, 8, 0.15, 40, 20.0
-MOST_LINKS, MOST_KEYS, MOST_WORDS, STATUS_SHARE = 500_000, 1_000_000, 300_000, 0.02
+CONTEXTS, DIMENSIONS, WINDOW, NEGATIVE, COMMON, EPOCHS = 1024, 32, 3, 1.0, 1e-3, 50
+#: least frequency of the right word, absolute and beside the misread one; least log odds of a candidate in its context;
+#: log odds that a rare word is a misreading; cosine from which two words count as one word by their contexts
+RATIO, LEAST_COUNT, LEAST_FIT, MISREAD, SAME, SURE_RATIO, PAIR_RATIO = 8, 8, -1.0, 1.0, 0.5, 40, 20.0
+#: bounds of what is broadcast, beyond which the same is joined; packages that share a running line which is no title
+MOST_LINKS, MOST_KEYS, MOST_WORDS, SHARING = 50_000, 1_000_000, 300_000, 3
 EVENT_TYPE = "array<struct<line_no:int,noise:string>>"
 
 # fixed values: misread glyphs and what they stand for
@@ -65,7 +70,7 @@ ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 NUMBERED = re.compile(r"^\s*\d{1,6}\s*\|\s*|\s*\|\s*\d{1,6}\s*$|\s{2,}\d{1,6}\s*$")
 DECIMAL = re.compile(r"(?<![\w.,])(?=[^\s\d]*\d)[\dlIOSZbBGqg]+(?:[.,][\dlIOSZbBGqg]+)+(?![\w])")
 DIGITS = str.maketrans("lIOSZbBGqg", "1105268699")
-SKELETON = str.maketrans({"c": "e", "l": "i", "1": "i", "|": "i", "f": "t", "0": "o", "§": "s", "5": "s", "$": "s", "q": "g", "9": "g", "8": "h", "b": "h", "v": "y", "6": "h"})
+SKELETON = str.maketrans({"c": "e", "l": "i", "1": "i", "|": "i", "f": "t", "0": "o", "§": "s", "5": "s", "$": "s", "q": "g", "9": "g", "8": "h", "b": "h", "v": "y", "6": "h", "ä": "a", "ö": "o", "€": "e", "@": "a", "z": "2", "7": "t", "4": "a", "j": "i", "u": "n"})
 SPACES = re.compile(r"\s+")
 
 
@@ -106,7 +111,7 @@ def furniture(lines: list[str], keys) -> list[bool]:
     known = len(keys) > 0
     out = []
     for line in lines:
-        if len(line) > 110 or not line or line[0] == "#" or line[:2] == "| ":
+        if not line or line[0] == "#" or line[:2] == "| ":
             out.append(False)
         elif len(line) <= 40 and is_page_number(line):
             out.append(True)
@@ -179,111 +184,190 @@ def is_odd(word: str) -> bool:
 
 VECTOR = [f"v{i}" for i in range(DIMENSIONS)]
 WORD_SCHEMA = "word string, n bigint, near double, " + ", ".join(f"{v} double" for v in VECTOR)
+LINK_SCHEMA = "word string, right string, m bigint, odd boolean, cosine double, near double, own array<double>, fit array<double>"
 
 
-def random_vector(word: str) -> np.ndarray:
-    """The fixed output vector of a word."""
-    bits = zlib.crc32(word.encode("utf-8", "replace")) * 2654435761 & 0xFFFFFFFF
-    return np.array([1.0 if bits >> i & 1 else -1.0 for i in range(DIMENSIONS)], np.float32)
-
-
-class WordSums:
-    """Counts and skip-gram sums of the words of some texts, and counts of their sign pairs."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.output = np.zeros((1 << 14, DIMENSIONS), np.float32)
-        self.total = np.zeros((1 << 14, DIMENSIONS), np.float64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.near = np.zeros(1 << 14, np.float64)
-        self.pairs: dict[str, int] = {}
-
-    def id(self, word: str) -> int:
-        n = self.number.get(word)
-        if n is None:
-            n = self.number[word] = len(self.number)
-            if n >= len(self.output):
-                for name in ("output", "total", "count", "near"):
-                    own = getattr(self, name)
-                    setattr(self, name, np.concatenate([own, np.zeros_like(own)]))
-            self.output[n] = random_vector(word)
-        return n
-
-    def add(self, texts, keeps) -> None:
-        ids: list[int] = []
-        number, pairs = self.number, self.pairs
-        for text, keep in zip(texts, keeps, strict=True):
-            ids += [number[w] if w in number else self.id(w) for w in spoken(*layout(text, (), keep))]
-            ids.append(-1)
-            if not text.isascii():
-                flat = text.replace("\n", "")
-                for m in CONFUSABLE.finditer(flat):
-                    i = m.start()
-                    for pair in (flat[i - 1 : i + 1], flat[i : i + 2]) if i else (flat[:2],):
-                        pairs[pair] = pairs.get(pair, 0) + 1
-        at = np.array(ids, np.int64)
-        words = len(number)
-        freq = np.bincount(at[at >= 0], minlength=words)
-        share = freq / max(1, freq.sum())
-        weight = np.minimum(1.0, np.sqrt(COMMON / np.maximum(share, 1e-12))).astype(np.float32)
-        padded = np.where(at < 0, words, at)
-        table = np.concatenate([self.output[:words] * weight[:, None], np.zeros((1, DIMENSIONS), np.float32)])
-        mass = np.append(weight, 0.0)
-        around = np.zeros((len(at), DIMENSIONS), np.float32)
-        seen = np.zeros(len(at), np.float32)
-        for step in range(1, WINDOW + 1):
-            around[step:] += table[padded[:-step]]
-            around[:-step] += table[padded[step:]]
-            seen[step:] += mass[padded[:-step]]
-            seen[:-step] += mass[padded[step:]]
-        order = np.argsort(padded, kind="stable")
-        owner = padded[order]
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        owners = owner[starts]
-        good = owners < words
-        self.total[owners[good]] += np.add.reduceat(around[order], starts, axis=0)[good]
-        self.near[owners[good]] += np.add.reduceat(seen[order], starts)[good]
-        self.count[:words] += freq
-
-    def frames(self) -> Iterator[pd.DataFrame]:
-        n = len(self.number)
-        frame = pd.DataFrame(self.total[:n], columns=VECTOR)
-        frame.insert(0, "near", self.near[:n])
-        frame.insert(0, "n", self.count[:n])
-        frame.insert(0, "word", pd.Series(list(self.number), dtype=object))
-        rest = pd.DataFrame({"word": pd.Series(list(self.pairs), dtype=object), "n": pd.Series(list(self.pairs.values()), dtype=np.int64), "near": 0.0})
-        for v in VECTOR:
-            rest[v] = 0.0
-        yield from (part for part in (frame, rest) if len(part))
-
-
-def word_vectors(texts: DataFrame) -> DataFrame:
-    """WORD_SCHEMA: counts and skip-gram sums of all words, and counts of sign pairs (vectors 0).
+def spoken_texts(texts: DataFrame) -> DataFrame:
+    """words (joined by blanks) and pairs (of signs, joined by line ends) of each distinct text; ``texts``: text, keep."""
 
-    Each task adds up its own texts, so the shuffle carries a row per task and distinct word; a task that meets more than
-    MOST_WORDS of them passes its sums on and starts anew. ``texts``: text, keep. Each distinct text counts once; copies
-    are combined before the shuffle.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, pairs = [], []
+            for text, keep in zip(pdf["text"], pdf["keep"], strict=True):
+                words.append(" ".join(spoken(*layout(text, (), keep))))
+                own = []
+                if not text.isascii():
+                    flat = text.replace("\n", "")
+                    for m in CONFUSABLE.finditer(flat):
+                        i = m.start()
+                        own += [flat[i - 1 : i + 1], flat[i : i + 2]] if i else [flat[:2]]
+                pairs.append("\n".join(own))
+            yield pd.DataFrame({"words": words, "pairs": pairs})
+
+    return texts.groupBy("text").agg(F.min("keep").alias("keep")).mapInPandas(run, "words string, pairs string")
+
+
+def word_places(words: pd.Series, number: dict[str, int], other: int) -> np.ndarray:
+    """The numbers of all words of some texts one after another, WINDOW times ``other + 1`` between texts."""
+    out: list[int] = []
+    gap = [other + 1] * WINDOW
+    for text in words:
+        out += [number.get(w, other) for w in text.split()]
+        out += gap
+    return np.array(out, np.int64)
+
+
+def neighbour_counts(spoken: DataFrame, contexts: list[str]) -> np.ndarray:
+    """How often each context word stands within WINDOW words of each other one.
+
+    A task adds up a table of the context words, which is bounded however much text there is; its rows are added up by
+    context word.
     """
+    k = len(contexts)
+    shared = spoken.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(contexts)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = WordSums()
+        counts = np.zeros(k * k, np.int64)
         for pdf in batches:
-            sums.add(pdf["text"], pdf["keep"])
-            if len(sums.number) > MOST_WORDS:  # a sum may come in parts
-                yield from sums.frames()
-                sums = WordSums()
-        yield from sums.frames()
+            at = word_places(pdf["words"], shared.value, k)
+            for step in range(1, WINDOW + 1):
+                a, b = at[step:], at[:-step]
+                both = (a < k) & (b < k)
+                counts += np.bincount(a[both] * k + b[both], minlength=k * k)
+        counts = counts.reshape(k, k)
+        counts = counts + counts.T
+        there = np.flatnonzero(counts.any(axis=1))
+        yield pd.DataFrame({"at": there, "counts": [counts[i].tobytes() for i in there]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "counts": [sum(np.frombuffer(c, np.int64) for c in pdf["counts"]).tobytes()]})
+
+    out = np.zeros((k, k))
+    for r in spoken.mapInPandas(run, "at int, counts binary").groupBy("at").applyInPandas(add, "at int, counts binary").collect():
+        out[r["at"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+    return out
+
 
-    distinct = texts.groupBy("text").agg(F.min("keep").alias("keep"))
-    return distinct.mapInPandas(run, WORD_SCHEMA).groupBy("word").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), *[F.sum(v).alias(v) for v in VECTOR])
+def train_vectors(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(input, output) vectors of the context words: skip-gram with NEGATIVE negative samples, in full-batch steps.
+
+    The table holds all positive pairs, so the expectation over negative samples is exact; steps are scaled as in Adagrad.
+    """
+    rng = np.random.default_rng(7)
+    n = len(counts)
+    own, out = (rng.normal(0, 0.3, (n, DIMENSIONS)).astype(np.float32) for _ in range(2))
+    share = counts.sum(axis=0) / max(1.0, counts.sum())
+    positive, negative = counts.astype(np.float32), (NEGATIVE * np.outer(counts.sum(axis=1), share)).astype(np.float32)
+    past = [np.full(own.shape, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32)]
+    for _ in range(EPOCHS):
+        likely = 1 / (1 + np.exp(-(own @ out.T)))
+        pull = positive * (1 - likely) - negative * likely
+        steps = pull @ out, pull.T @ own
+        for vectors, step, seen in zip((own, out), steps, past, strict=True):
+            seen += step**2
+            vectors += 0.2 * step / np.sqrt(seen)
+    return own.astype(float), out.astype(float)
+
+
+def word_sums(spoken: DataFrame, contexts: list[str], table: np.ndarray, kept: np.ndarray) -> DataFrame:
+    """WORD_SCHEMA: the count of each word and the sums of ``table`` and ``kept`` (per context word) around it.
+
+    Each task adds up its own texts, so the shuffle carries a row per task and distinct word; a task that meets more than
+    MOST_WORDS of them passes its sums on and starts anew.
+    """
+    k = len(contexts)
+    shared = spoken.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(contexts)}, np.vstack([np.column_stack([kept, table]), np.zeros((2, DIMENSIONS + 1))]).astype(np.float32)))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context, rows = shared.value
+        number: dict[str, int] = {}
+        count, total = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + 1))
 
-def links(vocabulary: DataFrame) -> DataFrame:
-    """word, right: rare words and the frequent word each is a misreading of.
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame(total, columns=["near", *VECTOR])
+            out.insert(0, "n", count)
+            out.insert(0, "word", pd.Series(list(number), dtype=object))
+            return out
 
-    A word links to the commonest word one glyph edit away that is RATIO times as frequent and has a similar vector (at
-    SURE_RATIO times as frequent, one that is not opposite); words that mix letters and digits only need a candidate at
-    least as frequent.
+        for pdf in batches:
+            texts = [t.split() for t in pdf["words"]]
+            for own in texts:
+                for w in own:
+                    if w not in number:
+                        number[w] = len(number)
+            size = len(number)
+            count = np.concatenate([count, np.zeros(size - len(count), np.int64)])
+            total = np.concatenate([total, np.zeros((size - len(total), DIMENSIONS + 1))])
+            gap = [-1] * WINDOW
+            at = np.array([x for own in texts for x in [*[number[w] for w in own], *gap]], np.int64)
+            row = np.append(np.array([context.get(w, k) for w in number], np.int64), k + 1)[at]
+            around = np.zeros((len(at), DIMENSIONS + 1), np.float32)
+            for step in range(1, WINDOW + 1):
+                around[step:] += rows[row[:-step]]
+                around[:-step] += rows[row[step:]]
+            real = np.flatnonzero(at >= 0)
+            order = real[np.argsort(at[real], kind="stable")]
+            if len(order):
+                first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+                total[at[order][first]] += np.add.reduceat(around[order], first, axis=0)
+                count += np.bincount(at[real], minlength=size)
+            if size > MOST_WORDS:  # a sum may come in parts
+                yield frame()
+                number, count, total = {}, np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + 1))
+        if number:
+            yield frame()
+
+    return spoken.mapInPandas(run, WORD_SCHEMA).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in ("near", *VECTOR)])
+
+
+class Space:
+    """The trained space: what each context word adds to the sums of a word, and the map from mean sums to vectors."""
+
+    def __init__(self, contexts: list[str], table: np.ndarray, kept: np.ndarray, turn: np.ndarray):
+        self.number, self.table, self.kept, self.turn = {w: i for i, w in enumerate(contexts)}, table, kept, turn
+
+    def around(self, words: list[str], at: int) -> tuple[np.ndarray, float]:
+        """The sums of the words around one place."""
+        near = [self.number[w] for w in (*words[max(0, at - WINDOW) : at], *words[at + 1 : at + 1 + WINDOW]) if w in self.number]
+        return (self.table[near].sum(axis=0), float(self.kept[near].sum())) if near else (np.zeros(DIMENSIONS), 0.0)
+
+    def vector(self, sums: np.ndarray, near: float) -> np.ndarray:
+        """The vector of a word with these sums; that of few contexts is drawn towards the mean."""
+        return sums @ self.turn / (near + 1.0)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    size = float(a @ a) * float(b @ b)
+    return float(a @ b) / size**0.5 if size > 1e-12 else 0.0
+
+
+def learn(spoken: DataFrame) -> tuple[DataFrame, Space]:
+    """(WORD_SCHEMA of all words, the trained space) of spoken texts."""
+    counts = spoken.select(F.explode(F.split("words", " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    commonest = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()
+    contexts = [r.word for r in commonest]
+    every = max(1, spoken.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 1)
+    kept = np.minimum(1.0, np.sqrt(COMMON * every / np.array([r.n for r in commonest], float)))  # frequent words subsampled
+    near = neighbour_counts(spoken, contexts) * np.outer(kept, kept)
+    own, out = train_vectors(near)
+    share = near.sum(axis=0) / max(1e-9, near.sum())
+    table = kept[:, None] * (out - NEGATIVE * (share @ out))
+    vocabulary = cut_lineage(word_sums(spoken, contexts, table, kept))
+    # the map from sums to trained vectors, by least squares over the context words
+    known = {r.word: np.array(r[3:], float) / (r.near + 1.0) for r in vocabulary.join(F.broadcast(spoken.sparkSession.createDataFrame([(w,) for w in contexts], "word string")), "word", "left_semi").collect()}
+    weight = np.sqrt([r.n for r in commonest])[:, None]
+    sums = np.array([known[w] for w in contexts]).reshape(-1, DIMENSIONS) * weight
+    square = sums.T @ sums
+    turn = np.linalg.solve(square + (1e-3 * np.trace(square) / DIMENSIONS + 1e-9) * np.eye(DIMENSIONS), sums.T @ (own * weight))
+    return vocabulary, Space(contexts, table, kept, turn)
+
+
+def links(vocabulary: DataFrame, space: Space) -> DataFrame:
+    """LINK_SCHEMA: rare words and the frequent words each may be a misreading of.
+
+    A candidate is one glyph edit away and RATIO times as frequent; words that mix letters and digits only need one at
+    least as frequent. ``cosine`` is that of the two vectors, ``near`` and ``own`` are the sums of the word, ``fit`` is the
+    vector of the right one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,22 +375,23 @@ def links(vocabulary: DataFrame) -> DataFrame:
             rows = [(w, n, c, is_odd(w)) for w, n in zip(pdf["word"], pdf["n"], strict=True) for c in candidates(w)]
             yield pd.DataFrame(rows, columns=["word", "n", "right", "odd"])
 
-    size = vocabulary.where("near > 0").agg(F.sum("near").alias("near"), *[F.sum(v).alias(v) for v in VECTOR]).first()
-    mean = [(size[v] or 0.0) / (size["near"] or 1.0) for v in VECTOR]
-    less = [(F.col(v) - F.lit(NEGATIVE * m) * F.col("near")).alias(v) for v, m in zip(VECTOR, mean, strict=True)]
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, right = (np.array(pdf[c].tolist(), float).reshape(-1, DIMENSIONS) for c in ("a", "b"))
+            a, b = own @ space.turn, right @ space.turn / (pdf["right_near"].to_numpy(float)[:, None] + 1.0)
+            same = (a * b).sum(axis=1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-9)
+            yield pdf[["word", "right", "m", "odd"]].assign(cosine=same, near=pdf["near"], own=list(own), fit=list(b))
+
     words = vocabulary.where(~F.col("word").rlike(f"[{SIGN}]"))
-    vectors = words.select("word", "n", F.array(*less).alias("vector"))
+    vectors = words.select("word", "n", "near", F.array(*VECTOR).alias("vector"))
     pairs = words.where(F.length("word") > 1).select("word", "n").mapInPandas(run, "word string, n bigint, right string, odd boolean")
-    known = pairs.join(vectors.select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("vector").alias("b")), "right")
+    known = pairs.join(vectors.select(F.col("word").alias("right"), F.col("n").alias("m"), F.col("near").alias("right_near"), F.col("vector").alias("b")), "right")
     common = (F.col("m") >= F.col("n") * RATIO) & (F.col("m") >= LEAST_COUNT) & (F.length("word") > 2)
     # a well-formed code may stand for another code or a number only if it is all but unique
     code = F.col("word").rlike("^[A-Z]{1,3}[0-9]+$")
     known = known.where(F.when(code, F.col("right").rlike("^[A-Z]{0,3}[0-9]+$") & (F.col("m") >= F.col("n") * SURE_RATIO)).otherwise(common | F.col("odd") & (F.col("m") >= F.col("n"))))
-    both = known.join(vectors.select("word", F.col("vector").alias("a")), "word")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("a"), F.col("b")) / F.sqrt(F.greatest(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")), F.lit(1e-9)))
-    near = both.withColumn("cosine", cosine).where(F.col("odd") | (F.col("cosine") >= LEAST_COSINE) | (F.col("m") >= F.col("n") * SURE_RATIO) & (F.col("cosine") > -0.6))
-    return near.groupBy("word").agg(F.max(F.struct("m", "right")).alias("best"), F.max("cosine").alias("cosine")).select("word", F.col("best.right").alias("right"), "cosine")
+    both = known.withColumn("odd", F.col("odd") | code).join(vectors.select("word", "near", F.col("vector").alias("a")), "word")
+    return both.select("word", "right", "m", "odd", "near", "right_near", "a", "b").mapInPandas(judge, LINK_SCHEMA)
 
 
 def shape_right(word: str) -> str | None:
@@ -318,14 +403,41 @@ def shape_right(word: str) -> str | None:
     return None
 
 
+class Link:
+    """What a word may be a misreading of: the candidates, and the sums of the word itself."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: (right, m, odd, cosine, near, own, fit) of one word."""
+        self.rows = sorted([(*r[:6], np.asarray(r[6], float)) for r in rows], key=lambda r: (-r[1], r[0]))
+        self.odd, self.near, self.own = rows[0][2], rows[0][4], np.asarray(rows[0][5], float)
+
+    def right(self, space: Space, words: list[str], at: int) -> str | None:
+        """The word that must have stood at a place; None where this one may stand as it is."""
+        if self.odd:  # no word by its shape: the commonest candidate
+            return self.rows[0][0]
+        around, near = space.around(words, at)
+        # what the word's other occurrences say of it
+        other, rest = self.own - around, self.near - near
+        alone = rest < 1e-3
+        mine = float(around @ space.vector(other, max(0.0, rest)))
+        best, score = None, LEAST_FIT
+        for word, _, _, same, _, _, fit in self.rows:
+            odds = float(around @ fit)
+            if odds > score and (same >= SAME or alone or odds + MISREAD > mine):
+                best, score = word, odds
+        return best
+
+
 class Reader:
     """Reads texts with the learned links; see the module."""
 
-    def __init__(self, right: dict[str, str], pairs: dict[str, int]):
-        self.right, self.pairs = right, pairs
+    def __init__(self, right: dict[str, Link], pairs: dict[str, int], space: Space):
+        self.right, self.pairs, self.space = right, pairs, space
 
-    def word(self, w: str) -> str | None:
-        found = self.right.get(w)
+    def word(self, w: str, words: list[str], at: int) -> str | None:
+        """What stands for a word at its place among the words of the body."""
+        link = self.right.get(w)
+        found = link.right(self.space, words, at) if link is not None else None
         return found if found is not None or w.isalpha() else shape_right(w)
 
     def signs(self, line: str, before: str, after: str) -> list[tuple[int, str]]:
@@ -355,54 +467,69 @@ class Reader:
         events += [(i + 1, "hyphen") for i in breaks]
         wrong: set[int] = set()
         fixed = list(lines)
-        halves = {j: b for j, _, b in breaks.values()}
+        rests = {j: i for i, (j, _, _) in breaks.items()}
         plain = text.isascii()
         body = [i for i, f in enumerate(frame) if not f and lines[i]]
+        # the words of the body in order, broken ones whole; where a word stands: (line, start, end)
+        words: list[str] = []
+        spots: list[tuple[int, int, int] | None] = []
+        for i in body:
+            own = [(m[0], m.start(), m.end()) for m in WORD.finditer(lines[i])]
+            for n, (w, a, b) in enumerate(own):
+                if n == 0 and i in rests:
+                    continue
+                whole = n == len(own) - 1 and i in breaks
+                words.append(breaks[i][1] + breaks[i][2] if whole else w)
+                spots.append((i, -1, -1) if whole else (i, a, b))
+        changes: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+        for at, (w, spot) in enumerate(zip(words, spots, strict=True)):
+            if w not in self.right and (w.isalpha() or w.isdigit()):
+                if spot[1] >= 0 or not (breaks[spot[0]][1] in self.right or breaks[spot[0]][2] in self.right):
+                    continue
+            right = self.word(w, words, at)
+            if spot[1] >= 0:
+                if right:
+                    wrong.add(spot[0])
+                    changes[spot[0]].append((spot[1], spot[2], right))
+                continue
+            i = spot[0]
+            j, a, b = breaks[i]
+            end, begin = len(lines[i].rstrip()) - 1, len(lines[j]) - len(lines[j].lstrip())
+            if right:
+                p = 0
+                while p < min(len(right), len(w)) and right[p] == w[p]:
+                    p += 1
+                if p < len(a):
+                    wrong.add(i)
+                    changes[i].append((end - len(a), end, right[: len(right) - len(b)]))
+                else:
+                    wrong.add(j)
+                    changes[j].append((begin, begin + len(b), right[len(a) :]))
+            else:  # not known as a whole: its longer parts may be words
+                for part, k, start in ((a, i, end - len(a)), (b, j, begin)):
+                    own = self.word(part, words, at) if len(part) > 3 else None
+                    if own:
+                        wrong.add(k)
+                        changes[k].append((start, start + len(part), own))
         for at, i in enumerate(body):
             line = lines[i]
             for m in DECIMAL.findall(line):
                 if not m.replace(".", "").replace(",", "").isdigit():
                     wrong.add(i)
                     fixed[i] = fixed[i].replace(m, m.translate(DIGITS))
-            words = WORD.findall(line)
-            odd = [w for w in words if w in self.right or not w.isalpha() and not w.isdigit() and self.word(w)]
-            if odd:
-                first = halves.get(i)
-                last = breaks[i][1] if i in breaks else None
-                for w in dict.fromkeys(odd):
-                    # a part of a broken word is judged with the whole
-                    if w in (first, last) and words.count(w) == 1:
-                        continue
-                    wrong.add(i)
-                    fixed[i] = re.sub(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", lambda m, w=w: self.word(w) or w, fixed[i])
-            if i in breaks:
-                j, a, b = breaks[i]
-                whole = self.word(a + b)
-                if whole:
-                    p = 0
-                    while p < min(len(whole), len(a + b)) and whole[p] == (a + b)[p]:
-                        p += 1
-                    if p < len(a):
-                        wrong.add(i)
-                        fixed[i] = fixed[i].rstrip()[: -len(a) - 1] + whole[: len(whole) - len(b)] + "-"
-                    else:
-                        wrong.add(j)
-                        fixed[j] = whole[len(a) :] + fixed[j].lstrip()[len(b) :]
-                else:
-                    for w, k in ((a, i), (b, j)):
-                        if len(w) > 3 and self.word(w):
-                            wrong.add(k)
             if not plain:
                 before = lines[body[at - 1]][-1:] if at else ""
                 after = lines[body[at + 1]][:1] if at + 1 < len(body) else ""
                 found = self.signs(line, before, after)
                 if found:
                     wrong.add(i)
-                    if repair and len(fixed[i]) == len(line):
-                        chars = list(fixed[i])
-                        for p, c in found:
-                            chars[p] = c
-                        fixed[i] = "".join(chars)
+                    chars = list(fixed[i])  # decimals keep their length
+                    for p, c in found:
+                        chars[p] = c
+                    fixed[i] = "".join(chars)
+            for a, b, right in sorted(changes.get(i, ()), reverse=True):
+                if lines[i][a:b] == fixed[i][a:b]:  # not within a decimal
+                    fixed[i] = fixed[i][:a] + right + fixed[i][b:]
         events += [(i + 1, "char") for i in wrong]
         return events, self.reflow(fixed, frame, breaks) if repair else None
 
@@ -432,20 +559,23 @@ class Reader:
         return out.replace("\0", "")
 
 
-def header_keys(items: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame, set[int]]:
-    """(source_id, key), (source_id, keys) of each package's running lines, and the keys of status lines that many packages share."""
+def header_keys(items: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source_id, key), (source_id, keys) of each package's running lines, and (key) of status lines.
+
+    A status line is a running line of at least SHARING packages that no package has as its title: it is furniture in all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, k) for s, t in zip(pdf["source_id"], pdf["line"], strict=True) for k in {key(t), *line_keys(t)}]
-            yield pd.DataFrame(rows, columns=["source_id", "key"])
+            rows = [(s, k, t) for s, line, t in zip(pdf["source_id"], pdf["line"], pdf["title"], strict=True) for k in {key(line), *line_keys(line)}]
+            yield pd.DataFrame(rows, columns=["source_id", "key", "title"])
 
-    lines = items.where(F.col("item_type").isin("page_header", "page_footer") & F.col("raw_text").isNotNull() & (F.length("raw_text") <= 110)).select("source_id", F.col("raw_text").alias("line"))
-    titles = packages.where("title is not null").select(F.col("package_id").alias("source_id"), F.col("title").alias("line"))
-    each = cut_lineage(lines.unionByName(titles).where("source_id is not null").distinct().mapInPandas(run, "source_id string, key bigint").distinct())
-    n = packages.count()
-    shared = each.groupBy("key").count().where(F.col("count") >= max(3, STATUS_SHARE * n))
-    return each, each.groupBy("source_id").agg(F.collect_set("key").alias("keys")), {r.key for r in shared.collect()}
+    lines = items.where(F.col("item_type").isin("page_header", "page_footer") & F.col("raw_text").isNotNull()).select("source_id", F.col("raw_text").alias("line"), F.lit(False).alias("title"))
+    titles = packages.where("title is not null").select(F.col("package_id").alias("source_id"), F.col("title").alias("line"), F.lit(True).alias("title"))
+    every = cut_lineage(lines.unionByName(titles).where("source_id is not null").distinct().mapInPandas(run, "source_id string, key bigint, title boolean").distinct())
+    each = every.select("source_id", "key").distinct()
+    shared = every.groupBy("key").agg(F.max("title").alias("title"), F.count_if(~F.col("title")).alias("n")).where(~F.col("title") & (F.col("n") >= SHARING)).select("key")
+    return each, each.groupBy("source_id").agg(F.collect_set("key").alias("keys")), shared
 
 
 def cache_keys(cache: DataFrame, assets: DataFrame, each: DataFrame) -> DataFrame:
@@ -456,7 +586,7 @@ def cache_keys(cache: DataFrame, assets: DataFrame, each: DataFrame) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, k) for s, t in zip(pdf["sha256"], pdf["text"], strict=True) for line in t.split("\n") if 2 < len(line) <= 110 for k in line_keys(line)]
+            rows = [(s, k) for s, t in zip(pdf["sha256"], pdf["text"], strict=True) for line in t.split("\n") if len(line) > 2 for k in line_keys(line)]
             yield pd.DataFrame(rows, columns=["sha256", "key"])
 
     lines = cache.where("ocr.text like '%\n%'").select("sha256", F.col("ocr.text").alias("text")).mapInPandas(run, "sha256 string, key bigint").distinct()
@@ -465,8 +595,20 @@ def cache_keys(cache: DataFrame, assets: DataFrame, each: DataFrame) -> DataFram
     return lines.join(known, ["sha256", "key"], "left_semi").groupBy("sha256").agg(F.collect_set("key").alias("keys"))
 
 
+def text_keys(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(text_hash, status): the keys of status lines in each text, where there are too many of them to broadcast."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(h, k) for h, t in zip(pdf["text_hash"], pdf["text"], strict=True) for line in t.split("\n") if len(line) > 2 for k in line_keys(line)}
+            yield pd.DataFrame(list(rows), columns=["text_hash", "key"])
+
+    lines = texts.where("text like '%\n%'").select(F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "text_hash bigint, key bigint").distinct()
+    return lines.join(shared, "key", "left_semi").groupBy("text_hash").agg(F.collect_set("key").alias("status"))
+
+
 def scanned_texts(items: DataFrame, cache: DataFrame, packages: DataFrame, assets: DataFrame) -> tuple[DataFrame, set[int]]:
-    """All texts that may come from scans: rec_table, rec_key, ingested_at, text, keep, keys; and the shared keys."""
+    """All texts that may come from scans: rec_table, rec_key, ingested_at, text, keep, keys; and the keys of status lines."""
     each, keys, shared = header_keys(items, packages)
     own = items.where(~F.coalesce(F.col("item_type").isin(FRAME_TYPES), F.lit(False)) & F.col("raw_text").isNotNull() & (F.col("raw_text") != ""))
     own = own.select("source_id", F.col("item_id").alias("id"), "ingested_at", F.col("raw_text").alias("text"), F.coalesce(F.col("item_type").isin(KEEP_LINES), F.lit(False)).alias("keep"))
@@ -480,7 +622,13 @@ def scanned_texts(items: DataFrame, cache: DataFrame, packages: DataFrame, asset
     read = cache.where("ocr.text is not null and ocr.text <> ''").select("sha256", "generated_at", F.col("ocr.text").alias("text"))
     b = read.join(cache_keys(cache, assets, each), "sha256", "left")
     b = b.select(F.lit("visual_cache").alias("rec_table"), F.col("sha256").alias("rec_key"), F.col("generated_at").alias("ingested_at"), "text", F.lit(False).alias("keep"), F.coalesce("keys", none).alias("keys"))
-    return a.unionByName(b), shared
+    texts = a.unionByName(b)
+    shared = cut_lineage(shared)
+    if shared.count() <= MOST_KEYS:
+        return texts, {r.key for r in shared.collect()}
+    marked = texts.withColumn("text_hash", F.xxhash64("text"))
+    joined = salted_left_join(marked, text_keys(texts, shared), ["text_hash"], hot_keys(marked, ["text_hash"], texts.count()), "rec_key")
+    return joined.withColumn("keys", F.concat("keys", F.coalesce("status", none))).select(*texts.columns), set()
 
 
 def known_keys(everywhere: set[int], keys) -> set[int]:
@@ -489,7 +637,7 @@ def known_keys(everywhere: set[int], keys) -> set[int]:
 
 
 def with_own_links(texts: DataFrame, found: DataFrame, vocabulary: DataFrame, shared: set[int]) -> DataFrame:
-    """texts with the links of their own words as arrays ``words`` and ``rights`` (null where there are none).
+    """texts with the links of their own words as an array ``own`` (null where there are none).
 
     The words that a text may look up are joined with the links by shuffle, once per distinct text; the commonest words
     without a link are left out before. Texts with very many copies are spread over the tasks of the last join.
@@ -511,10 +659,17 @@ def with_own_links(texts: DataFrame, found: DataFrame, vocabulary: DataFrame, sh
 
     marked = texts.withColumn("text_hash", F.xxhash64("text"))
     pairs = marked.select("text_hash", "text", "keep", "keys").mapInPandas(run, "text_hash bigint, word string").distinct()
-    lists = pairs.join(found, "word").groupBy("text_hash").agg(F.collect_list(F.struct("word", "right")).alias("own"))  # the words of one text at most
+    lists = pairs.join(found, "word").groupBy("text_hash").agg(F.collect_list(F.struct(*found.columns)).alias("own"))  # the words of one text at most
     hot = hot_keys(marked, ["text_hash"], texts.count())
-    joined = salted_left_join(marked, lists, ["text_hash"], hot, "rec_key")
-    return joined.select(*texts.columns, F.col("own.word").alias("words"), F.col("own.right").alias("rights"))
+    return salted_left_join(marked, lists, ["text_hash"], hot, "rec_key").select(*texts.columns, "own")
+
+
+def links_of(rows) -> dict[str, Link]:
+    """word -> Link of rows of LINK_SCHEMA."""
+    by: dict[str, list[tuple]] = defaultdict(list)
+    for r in rows:
+        by[r["word"]].append((r["right"], r["m"], r["odd"], r["cosine"], r["near"], r["own"], r["fit"]))
+    return {w: Link(own) for w, own in by.items()}
 
 
 def read_scans(items: DataFrame, cache: DataFrame, packages: DataFrame, assets: DataFrame, repair: bool = False) -> DataFrame:
@@ -525,25 +680,27 @@ def read_scans(items: DataFrame, cache: DataFrame, packages: DataFrame, assets:
     """
     texts, shared = scanned_texts(items, cache, packages, assets)
     spark = texts.sparkSession
-    vocabulary = cut_lineage(word_vectors(texts))
-    found = cut_lineage(links(vocabulary).select("word", "right"))
+    spoken = cut_lineage(spoken_texts(texts))
+    vocabulary, space = learn(spoken)
+    found = cut_lineage(links(vocabulary, space))
     # pairs with one of the few confusable signs: bounded by their number times the ideographs there are
-    pairs = {r.word: r.n for r in vocabulary.where(F.length("word") == 2).where(F.col("word").rlike(f"[{SIGN}]")).select("word", "n").collect()}
+    signs = spoken.select(F.explode(F.split("pairs", "\n")).alias("pair")).where(F.length("pair") == 2).where(F.col("pair").rlike(f"[{SIGN}]"))
+    pairs = {r.pair: r["count"] for r in signs.groupBy("pair").count().collect()}
     schema = f"rec_table string, rec_key string, ingested_at timestamp, events {EVENT_TYPE}, repaired string"
     vast = found.count() > MOST_LINKS
     if vast:
         texts = with_own_links(texts, found, vocabulary, shared)
-    model = spark.sparkContext.broadcast(({} if vast else {r.word: r.right for r in found.collect()}, pairs, shared))
+    model = spark.sparkContext.broadcast(([] if vast else [r.asDict() for r in found.collect()], pairs, shared, space))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        right, known, everywhere = model.value
-        reader = Reader(right, known)
+        rows, known, everywhere, space = model.value
+        reader = Reader(links_of(rows), known, space)
         for pdf in batches:
             events, repaired = [], []
             for n, (text, keep, keys) in enumerate(zip(pdf["text"], pdf["keep"], pdf["keys"], strict=True)):
                 if vast:
-                    words = pdf["words"].iat[n]
-                    reader.right = {} if words is None else dict(zip(words, pdf["rights"].iat[n], strict=True))
+                    own = pdf["own"].iat[n]
+                    reader.right = {} if own is None else links_of(own)
                 e, t = reader.read(text, known_keys(everywhere, keys), keep, repair)
                 events.append([{"line_no": at, "noise": k} for at, k in e])
                 repaired.append(t)

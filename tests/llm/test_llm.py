@@ -349,7 +349,8 @@ def test_scan_copies_count_once(spark):
     for n in range(60):
         assert {(e.line_no, e.noise) for e in got[f"s#copy{n}"].events} == {(1, "char"), (2, "char")}
         assert got[f"s#copy{n}"].repaired == "the committee was kept by the committee of the furnace"
-    words = {r.word: r.n for r in scans.word_vectors(items.unionByName(more).select(F.col("raw_text").alias("text"), F.lit(False).alias("keep")).where("text <> ''")).collect()}
+    spoken = scans.spoken_texts(items.unionByName(more).select(F.col("raw_text").alias("text"), F.lit(False).alias("keep")).where("text <> ''"))
+    words = {r.word: r.n for r in scans.word_sums(spoken, ["the"], np.zeros((1, scans.DIMENSIONS)), np.ones(1)).collect()}
     assert words["committec"] == words["comrnittee"] == 1
 
 
@@ -378,7 +379,7 @@ def test_scans_of_empty_tables(spark):
 
 
 def test_numbers_with_letters():
-    reader = scans.Reader({}, {})
+    reader = scans.Reader({}, {}, scans.Space([], np.zeros((0, scans.DIMENSIONS)), np.zeros(0), np.eye(scans.DIMENSIONS)))
     events, text = reader.read("fell from 9.S to l,0l3 percent and B105 rose\nin 2O24 by e.g. 3.5 or U.S. units", (), False, True)
     assert sorted(events) == [(1, "char"), (2, "char")] and text == "fell from 9.5 to 1,013 percent and B105 rose in 2024 by e.g. 3.5 or U.S. units"
 
@@ -391,22 +392,78 @@ def test_page_lines():
     assert scans.broken("the inspect-", "ion was") == ("inspect", "ion") and scans.broken("both in-", "and out") is None and scans.broken("1-", "2") is None
 
 
-def test_word_sums_in_parts():
-    texts = ["the sur-\nvey of the report", "12\nthe 报告由库存 report", "", "x\n\ny"]
+def test_word_sums_in_parts(spark, monkeypatch):
+    texts = ["the sur-\nvey of the report", "12\nthe 报告由库存 report", "", "x\n\ny"] + [f"the word{i} of the report" for i in range(40)]
+    spoken = scans.spoken_texts(spark.createDataFrame([(t, False) for t in texts], "text string, keep boolean"))
+    assert {p for r in spoken.collect() for p in r.pairs.split("\n")} == {"", "告由", "由库", "库存"}
+    table = np.random.default_rng(1).normal(size=(2, scans.DIMENSIONS))
+    sums = lambda: {r.word: (r.n, round(r.v0, 3), round(r.v31, 3)) for r in scans.word_sums(spoken, ["the", "report"], table, np.ones(2)).collect()}
+    whole = sums()
+    assert whole["survey"][0] == 1 and whole["the"][0] == 83 and "12" not in whole
+    assert abs(whole["word7"][1] - (2 * table[0][0] + table[1][0])) < 0.01
+    monkeypatch.setattr(scans, "MOST_WORDS", 3)
+    assert sums() == whole
+
+
+def contextual(spark, seed=3):
+    """Texts in which modem is a word of its own beside routers, and twice a misreading of modern beside buildings."""
+    rng = random.Random(seed)
+    net = lambda w: f"the router and the cable of the {w} with signal and port were tested in the network by {rng.choice(['them', 'us', 'staff'])}"
+    house = lambda w: f"a {w} building with garden and tower was designed for the city by {rng.choice(['them', 'us', 'staff'])}"
+    texts = [net("modem") for _ in range(12)] + [net(rng.choice(["switch", "server"])) for _ in range(60)] + [house("modern") for _ in range(150)] + [house(rng.choice(["large", "small"])) for _ in range(60)]
+    texts = [f"{t} on day {n}" for n, t in enumerate(texts)] + [house("modem") + " in spring\nand a third line", net("modem") + " in spring\nand a third line", house("modcrn") + " in May"]
+    rows = [("s", f"i{n}", NOW, "paragraph", t) for n, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "source_id string, item_id string, ingested_at timestamp, item_type string, raw_text string")
+    _, cache, packages, assets = noisy_tables(spark)
+    return (items, cache, packages, assets), len(texts)
+
+
+@pytest.mark.parametrize("links", [50_000, 0])
+def test_words_are_corrected_in_context(spark, monkeypatch, links):
+    """One word is corrected in one context and left in another; without the vectors it is not."""
+    monkeypatch.setattr(scans, "MOST_LINKS", links)
+    tables, n = contextual(spark)
+    read = lambda: {r.rec_key: r.repaired for r in scans.read_scans(*tables, repair=True).collect() if r.rec_table == "package_items"}
+    got = read()
+    assert "a modern building" in got[f"s#i{n - 3}"] and "of the modem with" in got[f"s#i{n - 2}"] and "a modern building" in got[f"s#i{n - 1}"]
+    assert all("modem" in got[f"s#i{i}"] for i in range(12))
+    monkeypatch.setattr(scans, "train_vectors", lambda counts: (np.ones((len(counts), scans.DIMENSIONS)),) * 2)
+    assert read() != got
+
+
+def test_trained_vectors_tell_contexts_apart(spark):
+    (items, *_), _ = contextual(spark)
+    vocabulary, space = scans.learn(scans.spoken_texts(items.select(F.col("raw_text").alias("text"), F.lit(False).alias("keep"))).cache())
+    v = {r.word: space.vector(np.array(r[3:], float), r.near) for r in vocabulary.collect()}
+    assert scans.cosine(v["large"], v["small"]) > 0.8 > 0.3 > scans.cosine(v["large"], v["server"])
+    assert scans.cosine(v["modcrn"], v["modern"]) > scans.cosine(v["modem"], v["modern"])
+
+
+def test_scans_have_no_longest_line(spark):
+    long = "Proceedings of the " + "very " * 20 + "long committee on running headers of any length"
+    assert len(long) > 116
+    rows = [("s", "h", NOW, "page_header", long)] + [("s", f"i{n}", NOW, "paragraph", f"{long} {n}\nthe text goes on and\non") for n in range(2)]
+    items = spark.createDataFrame(rows, "source_id string, item_id string, ingested_at timestamp, item_type string, raw_text string")
+    _, cache, packages, assets = noisy_tables(spark)
+    got = {r.rec_key: {(e.line_no, e.noise) for e in r.events} for r in scans.read_scans(items, cache, packages, assets).collect()}
+    assert got["s#i0"] == got["s#i1"] == {(1, "furniture")}
 
-    def counts(groups):
-        out = {}
-        for group in groups:
-            sums = scans.WordSums()
-            for text in group:
-                sums.add([text], [False])
-            for frame in sums.frames():
-                for word, n in zip(frame["word"], frame["n"], strict=True):
-                    out[word] = out.get(word, 0) + n
-        return out
 
-    assert counts([texts]) == counts([[t] for t in texts])
-    assert counts([texts])["survey"] == 1 and counts([texts])["the"] == 3 and counts([texts])["由库"] == 2 and "12" not in counts([texts])
+def test_status_lines_beyond_the_broadcast(spark, monkeypatch):
+    tables = noisy_tables(spark)
+    texts = lambda: {(r.rec_key, r.text): set(r.keys) for r in scans.scanned_texts(*tables)[0].collect()}
+    plain, status = texts(), scans.scanned_texts(*tables)[1]
+    assert status == {scans.key("Internal draft")}
+    monkeypatch.setattr(scans, "MOST_KEYS", -1)
+    joined = texts()
+    assert all(joined[k] - plain[k] <= status for k in plain) and any(joined[k] != plain[k] for k in plain)
+
+
+def test_signs_are_repaired_beside_words():
+    right = {"rnodern": scans.Link([("modern", 99, True, 1.0, 1.0, [1.0] * scans.DIMENSIONS, [1.0] * scans.DIMENSIONS)])}
+    reader = scans.Reader(right, {"已经": 500, "说已": 20}, scans.Space([], np.zeros((0, scans.DIMENSIONS)), np.zeros(0), np.eye(scans.DIMENSIONS)))
+    events, text = reader.read("A rnodern report says 己经 done in 2O24\nnext rnod-\nern line", (), False, True)
+    assert text == "A modern report says 已经 done in 2024 next modern line" and sorted(events) == [(1, "char"), (2, "char"), (2, "hyphen")]
 
 
 def test_language_cache_may_be_dropped(monkeypatch):
