@@ -77,7 +77,16 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_segments": p4_segments, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_clean": p6_clean}
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_WORDS = lambda x: f"regexp_extract_all(lower(translate({x}, '{_WIDE[0]}', '{_WIDE[1]}')), '[\\p{{L}}\\p{{N}}]+')"
+
 ORACLE = {
+    "p6_found": f"""WITH c AS (SELECT DISTINCT id, {_WORDS("text")} AS w FROM (SELECT id, unnest([question, expected_answer]) AS text FROM eval_cases WHERE id IS NOT NULL) WHERE text IS NOT NULL),
+f AS (SELECT id, w, array_to_string(w, '') AS s FROM c), g AS (SELECT *, length(regexp_replace(s, '[^㐀-䶿一-鿿豈-﫿]', '', 'g')) * 3 >= greatest(1, length(s)) AS zh FROM f),
+passages AS (SELECT id, array_to_string(w[i:i + {leakage.LEAST_WORDS - 1}], ' ') AS p FROM (SELECT id, w, unnest(range(1, len(w) - {leakage.LEAST_WORDS - 2})) AS i FROM g WHERE NOT zh) UNION SELECT id, substr(s, i, {leakage.LEAST_CHARS}) FROM (SELECT id, s, unnest(range(1, length(s) - {leakage.LEAST_CHARS - 2})) AS i FROM g WHERE zh)),
+d AS (SELECT doc_id, {_WORDS("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), e AS (SELECT doc_id, w, array_to_string(w, '') AS s FROM d),
+stretches AS (SELECT doc_id, array_to_string(w[i:i + {leakage.LEAST_WORDS - 1}], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - {leakage.LEAST_WORDS - 2})) AS i FROM e) UNION ALL SELECT doc_id, substr(s, i, {leakage.LEAST_CHARS}) FROM (SELECT doc_id, s, unnest(range(1, length(s) - {leakage.LEAST_CHARS - 2})) AS i FROM e))
+SELECT DISTINCT doc_id, id AS case_id FROM stretches JOIN passages USING (p)""",
     "p5_found": """WITH recs AS (
   SELECT 'package_items' AS rec_table, source_id || '#' || item_id AS rec_key, arg_min(raw_text, ingested_at) AS text, arg_min(item_type, ingested_at) AS modality FROM package_items GROUP BY source_id, item_id
   UNION ALL SELECT 'chunks', source_id || '#' || chunk_id, arg_min(text, ingested_at), arg_min(modalities[1], ingested_at) FROM chunks GROUP BY source_id, chunk_id)
