@@ -1,8 +1,9 @@
 """BM25 ranking of chunks and pages for a stated set of queries.
 
-Statistics (number of documents, mean length, document frequencies of the query terms) are Spark aggregates over all
-documents. Scoring is one pass: each batch of documents is a matrix of saturated term counts, multiplied by the matrix of
-query weights, and only the best k of each batch go on to the final ranking, so the shuffle does not grow with the corpus.
+The tokens of the documents are read once: a map keeps, of each document, its length and the counts of the terms that any
+query asks for. Statistics (number of documents, mean length, document frequencies) are Spark aggregates over that table.
+Scoring is a second map over it: each posting meets the queries that hold its term and no others, and every task passes on
+its best k rows of each query, so what is shuffled grows with the number of tasks, not with the documents in them.
 """
 
 from __future__ import annotations
@@ -15,22 +16,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators.order import top_rows
+from quillmark.session import cut_lineage
 
 K1, B, LABEL_BOOST, INTENT_BOOST, AUTHORITY = 1.2, 0.75, 6.0, 4.0, 0.15
-BLOCK, BATCH = 1000, 256
+BLOCK, BATCH = 1000, 512
 
 
-def statistics(documents: DataFrame, terms: list[str]) -> tuple[int, float, dict[str, int]]:
-    """(documents, mean length, document frequency of each term) of ``documents`` (tokens), in one pass.
+def postings(documents: DataFrame, terms: list[str]) -> DataFrame:
+    """The documents with ``size`` (tokens), ``terms`` and ``counts`` (numbers and counts of the known terms) for tokens."""
+    shared = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    keep = ["doc_key", "labels", "visual", "tabular", "extra"]
 
-    A blank term that every document has counts the documents and adds up their lengths.
-    """
-    wanted = documents.sparkSession.createDataFrame([(t,) for t in {*terms, " "}], "term string")
-    each = documents.select(F.size("tokens").alias("size"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(" ")))).alias("term"))
-    rows = each.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == " ", F.col("size"))).alias("size")).collect()
-    df = {r.term: r.n for r in rows}
-    n = df.pop(" ", 0)
-    return n, next((r["size"] / r.n for r in rows if r.term == " "), 0.0), df
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = shared.value
+        width = max(1, len(number))
+        for pdf in batches:
+            lists = [[number[t] for t in own if t in number] for own in pdf["tokens"]]
+            doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            pair, counts = np.unique(doc * width + np.array([t for x in lists for t in x], np.int64), return_counts=True)
+            edges = np.searchsorted(pair, np.arange(1, len(lists)) * width)
+            yield pdf[keep].assign(size=pdf["tokens"].map(len), terms=np.split((pair % width).astype(np.int32), edges), counts=np.split(counts.astype(np.int32), edges))
+
+    types = dict(documents.dtypes)
+    return documents.select(*keep, "tokens").mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", size int, terms array<int>, counts array<int>")
 
 
 def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
@@ -40,63 +48,76 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
     (added to scores that are above 0). Score = BM25 + 6 for a shared label + 4 where both are visual + 4 where both are
     tabular; ties go to the smaller doc_key. Scores are rounded to 6 places before ranking. Documents without tokens and
     queries without tokens match by labels and intent only. The queries are a stated set: they go to the tasks in blocks of
-    BLOCK, each of which reads the documents once.
+    BLOCK, each of which reads the postings once.
     """
     rows = sorted(queries.select("query_id", F.array_distinct("tokens").alias("tokens"), "labels", "visual", "tabular").collect(), key=lambda r: str(r.query_id))
     types = dict(queries.dtypes)["query_id"], dict(documents.dtypes)["doc_key"]
     found = documents.sparkSession.createDataFrame([], f"query_id {types[0]}, doc_key {types[1]}, score double")
+    terms = sorted({t for r in rows for t in r.tokens})
+    known = cut_lineage(postings(documents, terms))
+    total = known.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    df = np.zeros(len(terms))
+    for r in known.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+        df[r.term] = r["count"]
+    idf = np.log(1 + (total.n - df + 0.5) / (df + 0.5))
+    number = {t: i for i, t in enumerate(terms)}
     for start in range(0, len(rows), BLOCK):
-        part = score_block(rows[start : start + BLOCK], documents, k, types)
+        part = score_block(rows[start : start + BLOCK], known, number, idf, max(total["mean"] or 0.0, 1.0), k, types)
         found = part if start == 0 else found.unionByName(part)
     return top_rows(found, ["query_id"], [F.desc("score"), "doc_key"], k).select("query_id", "rank", "doc_key", "score")
 
 
-def score_block(rows: list, documents: DataFrame, k: int, types: tuple[str, str]) -> DataFrame:
-    """query_id, doc_key, score: of each batch of documents the best k for each query of a block."""
-    spark = documents.sparkSession
-    terms = sorted({t for r in rows for t in r.tokens}) or [""]
-    n, mean, df = statistics(documents, terms)
-    number = {t: i for i, t in enumerate(terms)}
-    idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in terms])
-    weights = np.zeros((len(terms), len(rows)))
-    for j, r in enumerate(rows):
-        weights[[number[t] for t in r.tokens], j] = 1.0
+def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.ndarray, mean: float, k: int, types: tuple[str, str]) -> DataFrame:
+    """query_id, doc_key, score: of the documents of each task the best k for each query of a block."""
+    # the queries of each term: those of term t are asked[first[t]:first[t + 1]]
+    holds = sorted((number[t], j) for j, r in enumerate(rows) for t in r.tokens)
+    asked = np.array([j for _, j in holds], np.int64)
+    first = np.searchsorted(np.array([t for t, _ in holds], np.int64), np.arange(len(number) + 1))
     marks = sorted({x for r in rows for x in r.labels})
     marked = {x: np.array([x in r.labels for r in rows], float) for x in marks}
     visual, tabular = np.array([bool(r.visual) for r in rows], float), np.array([bool(r.tabular) for r in rows], float)
-    shared = spark.sparkContext.broadcast((number, idf, weights, marked, visual, tabular, [r.query_id for r in rows]))
-    floor = max(mean, 1.0)
+    shared = known.sparkSession.sparkContext.broadcast((asked, first, idf, marked, visual, tabular, [r.query_id for r in rows]))
+
+    def scores(pdf: pd.DataFrame) -> np.ndarray:
+        """The scores of some documents (rows) for all queries of the block."""
+        asked, first, idf, marked, visual, tabular, names = shared.value
+        term = np.concatenate([np.asarray(t, np.int64) for t in pdf["terms"]])
+        f = np.concatenate([np.asarray(c, float) for c in pdf["counts"]])
+        doc = np.repeat(np.arange(len(pdf)), [len(t) for t in pdf["terms"]])
+        size = pdf["size"].to_numpy(float)[doc]
+        w = f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) * idf[term]
+        n = first[term + 1] - first[term]
+        at = np.repeat(np.arange(len(term)), n)
+        query = asked[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[term][at]]
+        score = np.bincount(doc[at] * len(names) + query, weights=w[at], minlength=len(pdf) * len(names)).reshape(len(pdf), len(names))
+        for i, own in enumerate(pdf["labels"]):
+            hit = [marked[x] for x in own if x in marked]
+            if hit:
+                score[i] += LABEL_BOOST * np.maximum.reduce(hit)
+        for column, wanted in (("visual", visual), ("tabular", tabular)):
+            there = pdf[column].to_numpy(bool)
+            score[there] += INTENT_BOOST * wanted
+        return np.where(score > 0, score + pdf["extra"].to_numpy(float)[:, None], 0.0).round(6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, idf, weights, marked, visual, tabular, names = shared.value
+        names = shared.value[-1]
+        best = pd.DataFrame({"query": np.zeros(0, np.int64), "doc_key": pd.Series([], dtype=object), "score": np.zeros(0)})
+        least = np.zeros(len(names))  # the score a document must reach to be among the best so far
         for whole in batches:
             for start in range(0, len(whole), BATCH):
-                pdf = whole.iloc[start : start + BATCH].sort_values("doc_key", ignore_index=True)
-                lists = [[number[t] for t in own if t in number] for own in pdf["tokens"]]
-                # the counts of known terms: one entry per document and term, in the order of documents
-                doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                pair, f = np.unique(doc * len(idf) + np.array([t for x in lists for t in x], np.int64), return_counts=True)
-                doc, term = pair // len(idf), pair % len(idf)
-                length = pdf["tokens"].map(len).to_numpy(float)[doc]
-                w = f * (K1 + 1) / (f + K1 * (1 - B + B * length / floor)) * idf[term]
-                score = np.zeros((len(pdf), len(names)))
-                if len(pair):
-                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    score[doc[first]] = np.add.reduceat(weights[term] * w[:, None], first, axis=0)
-                for i, own in enumerate(pdf["labels"]):
-                    hit = [marked[x] for x in own if x in marked]
-                    if hit:
-                        score[i] += LABEL_BOOST * np.maximum.reduce(hit)
-                score += INTENT_BOOST * (np.outer(pdf["visual"].to_numpy(float), visual) + np.outer(pdf["tabular"].to_numpy(float), tabular))
-                score = np.where(score > 0, score + pdf["extra"].to_numpy(float)[:, None], 0.0).round(6)
-                best = np.argsort(-score, axis=0, kind="stable")[:k]
-                values = np.take_along_axis(score, best, axis=0)
-                q, d = np.meshgrid(np.arange(len(names)), np.arange(len(best)))
-                good = values > 0
-                if good.any():
-                    yield pd.DataFrame({"query_id": [names[x] for x in q[good]], "doc_key": pdf["doc_key"].to_numpy()[best[d[good], q[good]]], "score": values[good]})
-
-    return documents.select("doc_key", "tokens", "labels", "visual", "tabular", "extra").mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
+                pdf = whole.iloc[start : start + BATCH]
+                score = scores(pdf)
+                floor = np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.zeros(len(names))
+                doc, query = np.nonzero((score > 0) & (score >= np.maximum(least, floor)))
+                if len(doc):
+                    more = pd.DataFrame({"query": query, "doc_key": pdf["doc_key"].to_numpy()[doc], "score": score[doc, query]})
+                    best = pd.concat([best, more]).sort_values(["query", "score", "doc_key"], ascending=[True, False, True]).groupby("query").head(k)
+                    full = best.groupby("query")["score"].agg(["size", "min"])
+                    full = full[full["size"] >= k]
+                    least[full.index.to_numpy()] = full["min"]
+        yield pd.DataFrame({"query_id": [names[q] for q in best["query"]], "doc_key": best["doc_key"], "score": best["score"]})
+
+    return known.mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
 
 
 def rank_within_sources(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
