@@ -15,12 +15,13 @@ KINDS = ["concept", "entity", "analysis", "source", "external_markdown"]
 def clean_page(text: Column, title: Column) -> Column:
     """A page's own body: without front matter, managed evidence, an evidence section, and headings that repeat the title.
 
-    Citations written as links become code. Up to three front matter blocks at the start are removed.
+    Citations written as links become code. All front matter blocks at the start are removed, and blocks between lines of
+    three dashes elsewhere.
     """
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     body = strip(empty(text))
-    for _ in range(3):
-        body = F.regexp_replace(body, r"(?s)^---\n.*?\n---[ \t]*\n?\s*", "")
+    body = F.regexp_replace(body, r"(?s)^(?:---\n.*?\n---\s*)+", "")
+    body = strip(F.regexp_replace(body, r"(?ms)^---\n.*?^---\n?", ""))
     body = F.regexp_replace(body, MANAGED_START, "")
     body = F.regexp_replace(body, r"(?s)\n## Evidence\n.*$", "")
     head = F.lower(F.concat(F.lit("# "), empty(title)))

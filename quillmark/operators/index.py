@@ -52,13 +52,26 @@ def index_status(stored: DataFrame, current: DataFrame) -> DataFrame:
     return totals.select((F.col("reusable") + F.col("to_drop")).alias("indexed"), (F.col("reusable") + F.col("to_embed")).alias("expected"), "reusable", "to_embed", "to_drop", ((F.col("to_embed") == 0) & (F.col("to_drop") == 0)).alias("fresh"))
 
 
-def chunk_fingerprints(chunks: DataFrame, assets: DataFrame) -> DataFrame:
-    """source_id, records, fingerprint: a digest of what is searchable of each source, whatever the order of its rows.
+def fingerprints(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, records, fingerprint of rows (keys, json): a sha256 that tells whether a set of rows is the same, in any order.
 
-    Each record's canonical JSON is hashed; a source is the sum of its records' hashes (as 64-bit numbers, modulo 2^61 - 1),
-    so no source is gathered in one place.
+    Rows are hashed, sorted within buckets by the first four digits of their hash, and the digests of the buckets hashed in
+    order: a tree of two levels, so no source is gathered in one place. Repeated rows count.
     """
+    hashed = records.select(*keys, F.sha2("json", 256).alias("hash"))
+    buckets = hashed.groupBy(*keys, F.substring("hash", 1, 4).alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x.digest)  # 65,536 at most
+    return buckets.groupBy(*keys).agg(F.sum("n").alias("records"), F.sha2(F.array_join(ordered, ""), 256).alias("fingerprint"))
+
+
+def chunk_fingerprints(chunks: DataFrame, assets: DataFrame) -> DataFrame:
+    """source_id, records, fingerprint: a digest of what is searchable of each source, whatever the order of its rows."""
     a = chunks.select("source_id", F.to_json(F.struct("asset_ids", "chunk_id", "text"), {"ignoreNullFields": "false"}).alias("json"))
     b = assets.select("source_id", F.to_json(F.struct("asset_id", "sha256", "vault_path"), {"ignoreNullFields": "false"}).alias("json"))
-    each = a.unionByName(b).withColumn("n", F.conv(F.substring(F.sha2("json", 256), 1, 13), 16, 10).cast("decimal(38,0)"))
-    return each.groupBy("source_id").agg(F.count("*").alias("records"), F.pmod(F.sum("n"), F.lit(2**61 - 1)).cast("bigint").alias("fingerprint"))
+    return fingerprints(a.unionByName(b), ["source_id"])
+
+
+def page_fingerprint(pages: DataFrame) -> DataFrame:
+    """records, fingerprint: one digest of a set of pages (path, title, text)."""
+    rows = pages.select(F.concat_ws("\n", "path", F.coalesce("title", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("json"))
+    return fingerprints(rows.withColumn("every", F.lit(1)), ["every"]).drop("every")

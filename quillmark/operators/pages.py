@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse, empty, evidence_id, item_text, table_markdown
 from quillmark.operators.context import stretch
+from quillmark.operators.skew import hot_keys, salted_left_join
 
 
 def rendered_item(version: Column) -> Column:
@@ -58,6 +59,23 @@ def curated_pages(pages: DataFrame, keep: DataFrame) -> DataFrame:
     return pages.select("path").distinct().join(judged, "path", "left").select("path", action.alias("action"))
 
 
+def curated_by_title(pages: DataFrame, members: DataFrame, keep: DataFrame, total: int = 0) -> DataFrame:
+    """path, action as curated_pages, for pages that have all sources of their title.
+
+    ``pages``: path, title, package_id; ``members``: title, package_id of all pages. What a title's sources come to is
+    counted once per title and joined, so pages that share a title never meet all its sources. A page without a title has
+    its own source only.
+    """
+    kept = keep.select(F.col("source_id").alias("package_id")).distinct().withColumn("kept", F.lit(1))
+    each = members.where("package_id is not null").select("title", "package_id").distinct().join(kept, "package_id", "left")
+    titles = each.where("title is not null").groupBy("title").agg(F.count("*").alias("n"), F.count("kept").alias("k"))
+    alone = pages.where("title is null").join(kept, "package_id", "left").select("path", F.col("package_id").isNotNull().cast("int").alias("n"), F.coalesce("kept", F.lit(0)).alias("k"))
+    titled = pages.where("title is not null").select("path", "title")
+    joined = salted_left_join(titled, titles, ["title"], hot_keys(titled, ["title"], total), "path").select("path", "n", "k")
+    action = F.when(F.coalesce("n", F.lit(0)) == F.coalesce("k", F.lit(0)), "keep").when(F.col("k") == 0, "drop").otherwise("mixed")
+    return joined.unionByName(alone).select("path", action.alias("action")).distinct()
+
+
 def stale_pages(pages: DataFrame, versions: DataFrame) -> DataFrame:
     """path, source_id, current: pages (path, source_ids, source_versions) that do not know a source's current version.
 

@@ -158,7 +158,14 @@ def stale_pages(spark, folder):
     return pages.stale_pages(built, packages.select(F.col("package_id").alias("source_id"), "source_version"))
 
 
-@add("page_rrf")
+@add(
+    "page_rrf",
+    f"WITH {rt._LOOSE}, " + rt.sql_bm25(rt._QUESTIONS, rt._PAGE_DOCS, k=20, more="CASE WHEN list_has_any(qlabs, labs) THEN 6 ELSE 0 END")
+    + f""", pv AS (SELECT path, {rt.sql_embedding("array_to_string(list_filter([coalesce(title, ''), coalesce(text, '')], lambda s: s <> ''), chr(10))")} AS v FROM nodes), eq AS (SELECT id AS query_id, {rt.sql_embedding('question')} AS v FROM eval_cases),
+es AS (SELECT query_id, path, round(list_cosine_similarity(eq.v, pv.v), 6) AS score FROM eq, pv), er AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM es QUALIFY rank <= 20),
+f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)) * 1000, 6) AS score, list(channel ORDER BY channel) AS channels FROM (SELECT query_id, substr(doc_key, 2) AS path, rank, 'page_bm25' AS channel FROM ranked UNION ALL SELECT query_id, path, rank, 'page_embedding' FROM er) GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, path, score, channels FROM f QUALIFY rank <= 8""",
+)
 def page_rrf(spark, folder):
     """Pages by fused lexical and vector ranks."""
     nodes = rt.pages_of(spark, folder)
@@ -168,7 +175,15 @@ def page_rrf(spark, folder):
     return fusion.fuse({"page_bm25": rt.ranked_pages(spark, folder, k=20), "page_embedding": near}, "path", 8)
 
 
-@add("cited_answers")
+_BEST3 = rt._CHUNK_RANK + ", h AS (SELECT query_id, rank, doc_key, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM ranked JOIN cs ON cs.source_id || '#' || cs.chunk_id = doc_key WHERE rank <= 3)"
+
+
+@add(
+    "cited_answers",
+    _BEST3
+    + """, a AS (SELECT query_id, string_agg('- ' || text || ' [' || doc_key || ']', chr(10) ORDER BY rank) AS answer, list(doc_key ORDER BY rank) AS ids FROM h GROUP BY 1)
+SELECT query_id, replace(replace(replace(answer, '[' || ids[1] || ']', '〔1〕'), '[' || coalesce(ids[2], '?') || ']', '〔2〕'), '[' || coalesce(ids[3], '?') || ']', '〔3〕') AS answer, ids AS citations FROM a""",
+)
 def cited_answers(spark, folder):
     """The offline answer to each case: the texts of its best three hits, each with its id, cited by number."""
     hits = rt.bm25_chunk_topk(spark, folder).where("rank <= 3")
@@ -179,7 +194,13 @@ def cited_answers(spark, folder):
     return lines.select("query_id", tx.number_citations(answer, ids).alias("answer"), ids.alias("citations"))
 
 
-@add("answer_overlap")
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_PLAIN_ANSWER = lambda x: f"regexp_replace(lower(translate(coalesce({x}, ''), '{_WIDE[0]}', '{_WIDE[1]}')), '[\\s\\x{{3000}}，。；：、,.!?！？;:''\"“”‘’（）()\\[\\]【】]+', '', 'g')"
+_OVERLAP = rt._CHUNK_RANK + f""", best AS (SELECT query_id AS id, coalesce(text, '') AS found FROM ranked JOIN cs ON cs.source_id || '#' || cs.chunk_id = doc_key WHERE rank = 1),
+o AS (SELECT e.id, e.expected_answer, found, {_PLAIN_ANSWER('expected_answer')} AS a, {_PLAIN_ANSWER('found')} AS b, round(length(coalesce(found, '')) / greatest(length(coalesce(expected_answer, '')), 1), 4) AS ratio FROM eval_cases e LEFT JOIN best b ON b.id = e.id)"""
+
+
+@add("answer_overlap", _OVERLAP + " SELECT id, a = b AS exact, a <> '' AND contains(b, a) AS contained, ratio AS length_ratio FROM o")
 def answer_overlap(spark, folder):
     """How the best hit's text compares with the expected answer, without case, width, blanks and punctuation."""
     best = rt.bm25_chunk_topk(spark, folder).where("rank = 1")
@@ -210,6 +231,6 @@ def streamed_chunks(spark, folder):
     return rows.select("source_id", "chunk_id", "ingested_at", F.sha2(tx.empty(F.col("text")), 256).alias("content_hash"))
 
 
-@add("streamed_event_counts")
+@add("streamed_event_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def streamed_event_counts(spark, folder):
     return stream_counts(spark, f"{folder}/events.parquet", "ts", "event_type")

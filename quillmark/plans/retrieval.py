@@ -328,17 +328,46 @@ def section_members(spark, folder):
     return context.sections(items_of(spark, folder, ["page_start", "breadcrumb"]))
 
 
-@add("visual_context")
+_SECTION = "coalesce({0}.breadcrumb, '')"
+
+
+@add(
+    "visual_context",
+    f"""WITH {_PLACED}, v AS (SELECT * FROM placed WHERE item_type IN ('image', 'figure', 'chart', 'table')), o AS (SELECT *, trim(coalesce(raw_text, '')) AS text FROM placed WHERE coalesce(item_type, '') NOT IN ('image', 'figure', 'chart', 'table', 'equation', 'title') AND trim(coalesce(raw_text, '')) <> ''),
+near AS (SELECT v.source_id, v.item_id, o.item_id AS other, o.position AS spot, o.text, coalesce(sum(length(o.text)) OVER (PARTITION BY v.source_id, v.item_id ORDER BY o.position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM v JOIN o ON o.source_id = v.source_id AND o.position <> v.position AND o.position BETWEEN v.position - 3 AND v.position + 3 AND o.page_start IS NOT DISTINCT FROM v.page_start
+  AND ({_SECTION.format('v')} = '' OR {_SECTION.format('o')} = '' OR {_SECTION.format('v')} = {_SECTION.format('o')})),
+taken AS (SELECT source_id, item_id, list(other ORDER BY spot) AS ids, string_agg(substr(text, 1, 1200 - used), ' ' ORDER BY spot) AS context FROM near WHERE used < 1200 GROUP BY 1, 2)
+SELECT v.source_id, v.item_id, coalesce(ids, []) AS context_item_ids, coalesce(context, '') AS context FROM v LEFT JOIN taken t ON t.source_id = v.source_id AND t.item_id = v.item_id""",
+)
 def visual_context(spark, folder):
     return context.visual_context(context.placed_items(items_of(spark, folder)))
 
 
-@add("heading_paths")
+@add(
+    "heading_paths",
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, n, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+', ''), ' ') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM l WHERE regexp_matches(line, '^#{1,6}(\\s|$)')),
+walk AS (SELECT doc_id, i, n, CASE WHEN title <> '' THEN [title] ELSE [] END AS stack FROM h WHERE i = 1
+  UNION ALL SELECT h.doc_id, h.i, h.n, list_concat(stack[1:level - 1], CASE WHEN title <> '' THEN [title] ELSE [] END) FROM walk JOIN h ON h.doc_id = walk.doc_id AND h.i = walk.i + 1)
+SELECT doc_id, n::INT AS line_no, array_to_string(stack, ' > ') AS path FROM walk""",
+)
 def heading_paths(spark, folder):
     return context.heading_paths(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-@add("evidence_selection")
+@add(
+    "evidence_selection",
+    _CHUNK_RANK.replace(f"WITH {CHUNKS}", f"WITH {CHUNKS}, {_PLACED}", 1)
+    + f""", pl AS (SELECT source_id, item_id, position, page_start, coalesce(breadcrumb, '') AS section, length(trim({_TEXT})) AS size, row_number() OVER (PARTITION BY source_id, page_start, coalesce(breadcrumb, '') ORDER BY position) AS nth FROM placed),
+hit AS (SELECT query_id, rank, c.source_id, unnest(c.item_ids) AS item_id, generate_subscripts(c.item_ids, 1) - 1 AS spot, {sql_mentions('question', vis.AGGREGATION)} AS agg FROM ranked JOIN cs c ON c.source_id || '#' || c.chunk_id = doc_key JOIN eval_cases e ON e.id = query_id),
+direct AS (SELECT hit.*, position, page_start, section, size FROM hit JOIN pl USING (source_id, item_id)),
+every AS (SELECT query_id, agg, source_id, item_id, 'hit' AS origin, 0 AS phase, rank, spot, 0 AS minor FROM direct
+  UNION ALL SELECT d.query_id, agg, d.source_id, b.item_id, 'adjacent', 0, rank, spot, CASE WHEN b.position < d.position THEN 1 ELSE 2 END FROM direct d JOIN pl b ON b.source_id = d.source_id AND abs(b.position - d.position) = 1 AND b.page_start IS NOT DISTINCT FROM d.page_start AND b.section = d.section WHERE d.size <= 80
+  UNION ALL SELECT d.query_id, agg, d.source_id, b.item_id, 'same_page', 1, rank, spot, b.position FROM direct d JOIN pl b ON b.source_id = d.source_id AND b.page_start IS NOT DISTINCT FROM d.page_start AND b.section = d.section WHERE agg AND nth <= 36),
+once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, source_id, item_id ORDER BY phase, rank, spot, minor, origin) = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, rank, spot, minor, source_id, item_id) AS place FROM once)
+SELECT query_id, place, source_id, item_id, origin FROM numbered WHERE place <= CASE WHEN agg THEN 12 ELSE 8 END""",
+)
 def evidence_selection(spark, folder):
     hits = bm25_chunk_topk(spark, folder)
     linked = chunks_of(spark, folder, ["item_ids"]).select(F.concat_ws("#", "source_id", "chunk_id").alias("doc_key"), "source_id", "item_ids")
@@ -395,7 +424,23 @@ def image_payload(spark, folder):
     return evidence.image_payload(items_of(spark, folder, ["sequence", "asset_ids"]), assets_of(spark, folder, ["media_type", "vault_path", "path"]))
 
 
-@add("reading_plans")
+_KIND, _META = "lower(trim(coalesce(item_type, '')))", lambda k: f"nullif(coalesce(metadata['{k}'], ''), '')"
+_PLAN_ROW = lambda a, b, c, d, e: f"{{'resource_type': '{a}', 'primary_representation': '{b}', 'run_caption': {c}, 'run_ocr': {d}, 'ocr_policy': {e}}}"
+_NATURAL = _PLAN_ROW("natural_image", "vlm_caption", "true", "texty", "CASE WHEN texty THEN 'always' ELSE 'on_demand' END")
+_PAGE_SHOT, _TABLE_SHOT = _PLAN_ROW("page_screenshot", "ocr+vlm_caption", "true", "true", "'always'"), _PLAN_ROW("table_screenshot", "structured_table", "false", "true", "'assistive'")
+
+
+@add(
+    "reading_plans",
+    f"""WITH {ITEMS}, v AS (SELECT source_id, item_id, {_KIND} AS kind, lower(trim(coalesce({_META('visual_type')}, {_META('resource_type')}, {_META('image_type')}, ''))) AS declared, lower(concat_ws(' ', coalesce(caption, ''), coalesce(breadcrumb, ''))) AS about,
+  coalesce(len(table_rows), 0) > 0 OR coalesce(table_html, '') <> '' AS tabled, coalesce(latex, '') <> '' AS formula, {_META('ocr_required')} IS NOT NULL OR {_META('contains_text')} IS NOT NULL OR {_META('text_dense')} IS NOT NULL AS texty FROM items WHERE item_type IN ('image', 'figure', 'chart', 'table', 'equation')),
+e AS (SELECT *, CASE WHEN declared <> '' THEN declared ELSE kind END AS effective FROM v),
+p AS (SELECT source_id, item_id, CASE WHEN effective IN ('equation', 'formula', 'formula_screenshot') OR formula THEN {_PLAN_ROW('formula', 'latex', 'false', 'false', "'disabled'")}
+  WHEN kind = 'table' OR tabled OR effective IN ('table', 'table_screenshot', 'table-image') THEN {_TABLE_SHOT} WHEN effective IN ('page', 'page_image', 'page_screenshot', 'screenshot') THEN {_PAGE_SHOT}
+  WHEN declared IN ('natural', 'natural_image', 'photo', 'scene') THEN {_NATURAL} WHEN {sql_mentions('about', vis.PAGE_SHOT)} THEN {_PAGE_SHOT} WHEN {sql_mentions('about', vis.TABLE_SHOT)} THEN {_TABLE_SHOT}
+  WHEN effective IN ('chart', 'plot', 'diagram', 'flowchart', 'flow_chart', 'architecture_diagram') OR kind = 'chart' OR {sql_mentions('about', vis.DIAGRAM)} THEN {_PLAN_ROW('diagram_chart', 'ocr+vlm_caption', 'true', 'true', "'always'")} ELSE {_NATURAL} END AS plan FROM e)
+SELECT source_id, item_id, plan.resource_type, plan.primary_representation, plan.run_caption, plan.run_ocr, plan.ocr_policy FROM p""",
+)
 def reading_plans(spark, folder):
     i = items_of(spark, folder, ["item_type", "table_rows", "table_html", "latex", "caption", "breadcrumb", "metadata"])
     visual = i.where(F.col("item_type").isin("image", "figure", "chart", "table", "equation"))
@@ -529,13 +574,21 @@ def slugs(spark, folder):
     return table(spark, folder, "packages").select("package_id", tx.slug(F.col("title")).alias("slug"))
 
 
-@add("rendered_pages")
+_PIPE_TABLE = f"""CASE WHEN coalesce(list_max(list_transform(table_rows, lambda r: len(r))), 0) > 0 THEN array_to_string(list_concat(pipe[1:1], ['| ' || array_to_string(list_transform(range(0, width), lambda i: '---'), ' | ') || ' |'], pipe[2:]), chr(10)) ELSE '' END"""
+
+
+@add(
+    "rendered_pages",
+    f"""WITH {ITEMS}, w AS (SELECT *, list_max(list_transform(table_rows, lambda r: len(r))) AS width FROM items), l AS (SELECT *, list_transform(table_rows, lambda r: '| ' || array_to_string(list_concat(list_transform(r, lambda c: {_CELL}), list_transform(range(0, width - len(r)), lambda i: '')), ' | ') || ' |') AS pipe FROM w),
+b AS (SELECT source_id, page_start AS page, floor(coalesce(sequence, 0) / 500)::INT AS part, coalesce(sequence, 0) AS sequence, item_id, array_to_string(list_filter([trim({_TEXT}), {_PIPE_TABLE}, CASE WHEN coalesce(latex, '') <> '' THEN '$$' || latex || '$$' ELSE '' END, '`' || source_id || '@' || coalesce(source_version, '') || '#' || item_id || '`'], lambda x: coalesce(x, '') <> ''), chr(10) || chr(10)) AS block FROM l)
+SELECT source_id, page, part, count(*)::INT AS items, string_agg(block, chr(10) || chr(10) ORDER BY sequence, item_id) AS markdown FROM b GROUP BY 1, 2, 3""",
+)
 def rendered_pages(spark, folder):
     keep = ["source_version", "sequence", "page_start", "raw_text", "caption", "search_text", "table_rows", "latex"]
     return pages.rendered_pages(items_of(spark, folder, keep))
 
 
-@add("page_summaries")
+@add("page_summaries", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^#+', ''), '\\s+', ' ', 'g'))), lambda x: x <> '')[1], '') AS summary FROM documents")
 def page_summaries(spark, folder):
     return table(spark, folder, "documents").select("doc_id", pages.page_summary(F.col("text")).alias("summary"))
 
@@ -620,11 +673,27 @@ def updated_index(spark, folder):
     return index.update_index(before.withColumn("vector", vx.hash_embedding(F.col("text"))), now).select("source_id", "chunk_id", "content_hash", "source_version", "reused")
 
 
-@add("chunk_fingerprints")
+_SHA_TREE = lambda rows, keys: f"h AS ({rows}), b AS (SELECT {keys}, substr(hash, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM h GROUP BY ALL) SELECT {keys}, sum(n)::BIGINT AS records, sha256(string_agg(digest, '' ORDER BY bucket)) AS fingerprint FROM b GROUP BY ALL"
+_JSON_TEXT = lambda x: f"coalesce(to_json({x})::VARCHAR, 'null')"
+
+
+@add(
+    "chunk_fingerprints",
+    f"""WITH {CHUNKS}, {ASSETS}, """
+    + _SHA_TREE(
+        f"""SELECT source_id, sha256('{{"asset_ids":' || {_JSON_TEXT('asset_ids')} || ',"chunk_id":' || {_JSON_TEXT('chunk_id')} || ',"text":' || {_JSON_TEXT('text')} || '}}') AS hash FROM cs UNION ALL SELECT source_id, sha256('{{"asset_id":' || {_JSON_TEXT('asset_id')} || ',"sha256":' || {_JSON_TEXT('sha256')} || ',"vault_path":' || {_JSON_TEXT('vault_path')} || '}}') FROM ast""",
+        "source_id",
+    ),
+)
 def chunk_fingerprints(spark, folder):
     return index.chunk_fingerprints(chunks_of(spark, folder, ["asset_ids", "text"]), assets_of(spark, folder, ["sha256", "vault_path"]))
 
 
+@add("page_fingerprint", f"WITH {PAGES}, " + _SHA_TREE("SELECT 1 AS every, sha256(path || chr(10) || coalesce(title, '') || chr(10) || sha256(coalesce(text, ''))) AS hash FROM nodes", "every").replace("SELECT every, sum", "SELECT sum").replace("FROM b GROUP BY ALL", "FROM b GROUP BY every"))
+def page_fingerprint(spark, folder):
+    return index.page_fingerprint(pages_of(spark, folder))
+
+
 _PAGE_STATES = "old AS (SELECT path, title, [package_id] AS ids, sha256(coalesce(text, '')) AS h FROM nodes WHERE updated_at < TIMESTAMP '2025-01-01' AND package_id IS NOT NULL), fresh AS (SELECT path, title, [package_id] AS ids, CASE WHEN updated_at < TIMESTAMP '2024-07-01' THEN sha256(coalesce(text, '')) ELSE sha256(coalesce(text, '') || coalesce(title, '')) END AS h FROM nodes WHERE updated_at >= TIMESTAMP '2024-01-01' AND package_id IS NOT NULL)"
 
 
@@ -647,20 +716,13 @@ def upserted_pages(spark, folder):
 _CITED = f"{PAGES}, cited AS (SELECT n.path, list_distinct(list_concat(CASE WHEN n.package_id IS NULL THEN [] ELSE [n.package_id] END, coalesce(list(m.package_id ORDER BY m.package_id) FILTER (m.package_id IS NOT NULL), []))) AS ids FROM nodes n LEFT JOIN (SELECT DISTINCT title, package_id FROM documents) m ON m.title = n.title GROUP BY n.path, n.package_id)"
 
 
-def pages_with_sources(spark, folder):
-    """Pages with all packages that have a page of the same title."""
-    d = table(spark, folder, "documents")
-    by_title = d.where("title is not null and package_id is not null").groupBy("title").agg(F.sort_array(F.collect_set("package_id")).alias("all"))
-    first = F.min(F.struct("doc_id", "title", "package_id")).alias("f")
-    nodes = d.where("path is not null and path <> ''").groupBy("path").agg(first).select("path", "f.*").join(by_title, "title", "left")
-    none = F.array().cast("array<string>")
-    return nodes.select("path", F.array_distinct(F.concat(F.when(F.col("package_id").isNull(), none).otherwise(F.array("package_id")), F.coalesce("all", none))).alias("source_ids"))
-
-
 @add("curated_pages", f"WITH {_CITED}, keep AS (SELECT package_id FROM packages WHERE parser_version IS NOT NULL), e AS (SELECT path, unnest(ids) AS p FROM cited), j AS (SELECT path, count(*) AS n, count(*) FILTER (p IN (SELECT package_id FROM keep)) AS k FROM e GROUP BY 1) SELECT path, CASE WHEN coalesce(n, 0) = coalesce(k, 0) THEN 'keep' WHEN k = 0 THEN 'drop' ELSE 'mixed' END AS action FROM cited LEFT JOIN j USING (path)")
 def curated_pages(spark, folder):
+    """What becomes of pages, each with all packages that have a page of its title, if packages with a parser version stay."""
+    d = table(spark, folder, "documents")
+    nodes = d.where("path is not null and path <> ''").groupBy("path").agg(F.min(F.struct("doc_id", "title", "package_id")).alias("f")).select("path", "f.title", "f.package_id")
     keep = table(spark, folder, "packages").where("parser_version is not null").select(F.col("package_id").alias("source_id"))
-    return pages.curated_pages(pages_with_sources(spark, folder), keep)
+    return pages.curated_by_title(nodes, d, keep)
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------------

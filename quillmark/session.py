@@ -30,9 +30,11 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session; in a local session without it, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillmark.functions.text import html_rows
 
@@ -52,14 +56,32 @@ def field(*paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object("block", p), F.lit("")) for p in paths])
 
 
-def inline_text(json: Column, depth: int = 4) -> Column:
-    """Text of nested content: a string, a list, or objects with content or children; to ``depth`` levels."""
-    plain = json
-    for _ in range(depth):
-        listed = F.from_json(plain, "array<string>")
-        inner = F.transform(listed, lambda x: F.coalesce(F.get_json_object(x, "$.content"), F.get_json_object(x, "$.children"), F.get_json_object(x, "$.text"), F.when(~x.startswith("{"), x), F.lit("")))
-        plain = F.when(F.trim(plain).startswith("["), F.array_join(inner, "")).when(F.trim(plain).startswith("{"), F.coalesce(F.get_json_object(plain, "$.content"), F.get_json_object(plain, "$.children"))).otherwise(plain)
-    return F.coalesce(F.trim(plain), F.lit(""))
+def leaf_text(json_text: str | None) -> str:
+    """The texts in a nested value, in order: strings, lists, and objects with content, children or text, at any depth."""
+    if json_text is None or not json_text.strip():
+        return ""
+    if json_text.lstrip()[0] not in "[{":
+        return json_text.strip()
+    try:
+        todo = [json.loads(json_text)]
+    except ValueError:
+        return json_text.strip()
+    out = []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, str):
+            out.append(value.strip())
+        elif isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, dict):
+            todo.append(next((value[k] for k in ("content", "children", "text") if value.get(k)), None))
+    return "".join(out).strip()
+
+
+@F.pandas_udf(StringType())
+def inline_text(values: pd.Series) -> pd.Series:
+    """Text of nested content, see leaf_text; a value nested beyond what the JSON parser reads (thousands of levels) fails."""
+    return values.map(leaf_text)
 
 
 def kind_of(kind: Column, level: Column) -> Column:

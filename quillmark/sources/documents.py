@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -42,36 +42,32 @@ def images_with_captions(references: DataFrame, files: DataFrame, captions: Data
     return joined.select("path", "place", F.concat(F.lit("asset-"), F.substring("sha256", 1, 20)).alias("asset_id"), F.coalesce(caption, "alt").alias("alt"), status.alias("status"))
 
 
+def first_sheet(book: zipfile.ZipFile) -> str:
+    """The part of a workbook that holds the sheet its own list names first; without a list, the one of the least number."""
+    if "xl/workbook.xml" not in book.namelist():
+        return min((n for n in book.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//{*}sheet"))
+    relation = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iterfind(".//{*}Relationship")}
+    return posixpath.normpath(posixpath.join("/xl", targets[relation])).lstrip("/")
+
+
+def place_of(reference: str) -> tuple[int, int]:
+    """(row, column), both from 1, of a reference such as AB12."""
+    letters = reference.rstrip("0123456789")
+    column = sum((ord(c) - 64) * 26**n for n, c in enumerate(reversed(letters)))
+    return int(reference[len(letters) :]), column
+
+
 def sheet_rows(content: bytes) -> list[list[str]]:
     """The cells of the first sheet of a workbook, as text; rows without cells are left out."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    spoken = lambda e: "".join(t.text or "" for t in e.iterfind(".//{*}t"))
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{space['m']}}}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", space)]
-        first = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))[0]
-        sheet = ElementTree.fromstring(book.read(first))
-    rows = []
-    for row in sheet.iterfind(".//m:sheetData/m:row", space):
-        cells: dict[int, str] = {}
-        for cell in row.findall("m:c", space):
-            column = 0
-            for letter in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
-                column = column * 26 + ord(letter) - 64
-            value = cell.find("m:v", space)
-            raw = (value.text or "") if value is not None else ""
-            kind = cell.get("t")
-            if kind == "inlineStr":
-                raw = "".join(t.text or "" for t in cell.iter(f"{{{space['m']}}}t"))
-            elif kind == "s" and raw:
-                raw = shared[int(raw)]
-            elif kind == "b":
-                raw = "TRUE" if raw == "1" else "FALSE"
-            cells[max(0, column - 1)] = raw.strip()
-        if cells:
-            rows.append([cells.get(i, "") for i in range(max(cells) + 1)])
-    return rows
+        strings = [spoken(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iterfind(".//{*}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        cells = list(ElementTree.fromstring(book.read(first_sheet(book))).iterfind(".//{*}c"))
+    read = {"s": lambda c, v: strings[int(v)] if v else "", "b": lambda c, v: str(v == "1").upper(), "inlineStr": lambda c, v: spoken(c)}
+    table = pd.DataFrame([(*place_of(c.get("r")), read.get(c.get("t"), lambda c, v: v)(c, c.findtext("{*}v", "")).strip()) for c in cells], columns=["row", "column", "text"])
+    return [own.set_index("column")["text"].reindex(range(1, own["column"].max() + 1), fill_value="").tolist() for _, own in table.groupby("row")]
 
 
 def read_sheets(spark: SparkSession, pattern: str) -> DataFrame:
@@ -83,7 +79,7 @@ def read_sheets(spark: SparkSession, pattern: str) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     out += [(path, n, cells) for n, cells in enumerate(sheet_rows(content), 1)]
-                except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError):
+                except (zipfile.BadZipFile, KeyError, IndexError, StopIteration, ValueError, ElementTree.ParseError):
                     continue
             yield pd.DataFrame(out, columns=["path", "row", "cells"])
 

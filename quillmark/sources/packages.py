@@ -45,10 +45,19 @@ def typed_records(lines: DataFrame, record: str = "record") -> DataFrame:
 def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """package, line_no, record of JSONL files; blank lines are skipped but counted.
 
-    A file is read as one value and split, as only so its lines have numbers; files are those of one package.
+    Files are read in splits; lines are numbered within their split, which is bounded, and the lines of the splits before
+    are added, so a file of any size stays spread.
     """
-    files = spark.read.text(pattern, wholetext=True).select(package_of(F.col("_metadata.file_path")).alias("package"), F.split("value", "\n").alias("lines"))
-    return files.select("package", F.posexplode("lines").alias("n", "record")).where(F.trim("record") != "").select("package", (F.col("n") + 1).alias("line_no"), "record")
+    from pyspark.sql import Window
+
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split")]
+    lines = spark.read.text(pattern, lineSep="\n").select(*where, F.monotonically_increasing_id().alias("at"), F.col("value").alias("record"))
+    counts = lines.groupBy("path", "split").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = lines.withColumn("own", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))
+    numbered = own.join(bases, ["path", "split"]).select(package_of(F.col("path")).alias("package"), (F.col("base") + F.col("own")).cast("int").alias("line_no"), "record")
+    return numbered.where(F.trim("record") != "")
 
 
 def read_packages(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def stream_upsert(spark: SparkSession, source: str, keys: list[str], keep: list[
     twice replaces itself; readers reduce the folders by key. State and checkpoint lie in the shared folder. Late rows need
     no watermark: the order of arrival does not matter to a minimum.
     """
-    base = f"{shared_folder(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
     stream = file_stream(spark, source, files_per_batch)
 
@@ -49,7 +49,7 @@ def stream_counts(spark: SparkSession, source: str, moment: str, group: str, win
     readers add the folders up. A sum does not depend on the order of arrival, so late rows need no watermark and count as
     any other. Rows with a null ``moment`` lie in no window.
     """
-    base = f"{shared_folder(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = file_stream(spark, source, 4).withColumn(moment, F.col(moment).cast("timestamp"))
 
     def count(rows: DataFrame) -> DataFrame:

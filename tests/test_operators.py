@@ -191,3 +191,57 @@ def test_models(spark):
     wanted = spark.createDataFrame([("k1", "in"), ("k2", "in2"), ("k2", "in2")], "key string, input string")
     cache = spark.createDataFrame([("k1", "cached", "ready"), ("k2", "broken", "error")], "key string, text string, status string")
     assert {(r.key, r.text, r.status) for r in fill_cache(wanted, cache, "key", lambda xs: [x.upper() for x in xs]).collect()} == {("k1", "cached", "ready"), ("k2", "IN2", "ready")}
+
+
+def test_clean_page_and_answers(spark):
+    from quillmark.functions import answers, wiki
+
+    fronts = "".join(f"---\nkey: {n}\n---\n" for n in range(6))
+    df = spark.createDataFrame([(fronts + "\n# Title\n\nbody [[s@v#i]]\n## Evidence\nx", "Title"), ("a\n---\nin the middle\n---\nb", None), (None, "T")], "text string, title string")
+    assert [r[0] for r in df.select(wiki.clean_page(F.col("text"), F.col("title"))).collect()] == ["body `s@v#i`", "a\nb", ""]
+    math = r"cost $5 and $6, formula $x_1$ \[ a+b \] `code $x$` \( y \) $$ z $$ and $a = b$ $"
+    assert answers.math_delimiters(math) == "cost $5 and $6, formula \\(x_1\\) \n$$\na+b\n$$\n `code $x$` \\(y\\) \n$$\nz\n$$\n and \\(a = b\\) $"
+    cases = {'pre ```json\n{"a": {"b": "}"}}\n``` post': '{"a": {"b": "}"}}', '"{\\"a\\":1}"': '{"a": 1}', "[1]": None, '{"a":1,} then {"b":2}': '{"b": 2}', None: None, '[{"a": 1}]': '{"a": 1}', "{": None}
+    assert {k: answers.lenient_json(k) for k in cases} == cases
+
+
+def test_fingerprints_tell_sets_of_rows(spark):
+    from quillmark.operators import index
+
+    rows = [("s", f"r{n}") for n in range(300)] + [("t", "r1")]
+    prints = lambda rs: {r.k: (r.records, r.fingerprint) for r in index.fingerprints(spark.createDataFrame(rs, "k string, json string"), ["k"]).collect()}
+    a = prints(rows)
+    assert a == prints(rows[::-1]) and a["s"] != a["t"] and len(a["s"][1]) == 64
+    assert prints(rows[1:])["s"] != a["s"] and prints([*rows, rows[0]])["s"] != a["s"] and prints([*rows, rows[0]])["t"] == a["t"]
+
+
+def test_curated_by_title_is_curated_pages(spark):
+    from quillmark.operators import pages
+
+    docs = [("p1", "A", "s1"), ("p2", "A", "s2"), ("p3", "B", "s1"), ("p4", None, "s1"), ("p5", None, "s2"), ("p6", "C", None), ("p7", None, None), ("p8", "D", "s3"), ("p9", "A", None)]
+    df = spark.createDataFrame(docs, "path string, title string, package_id string")
+    keep = spark.createDataFrame([("s1",)], "source_id string")
+    titles = {}
+    for _, t, p in docs:
+        if t and p:
+            titles.setdefault(t, set()).add(p)
+    whole = spark.createDataFrame([(path, sorted(titles.get(t, set()) | ({p} if p else set()))) for path, t, p in docs], "path string, source_ids array<string>")
+    assert set(pages.curated_by_title(df, df, keep).collect()) == set(pages.curated_pages(whole, keep).collect())
+
+
+def test_bm25_blocks_and_batches_agree(spark, monkeypatch):
+    import random
+
+    from quillmark.operators import bm25
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(f"d{n:03}", [rng.choice(words) for _ in range(rng.randrange(0, 30))], rng.sample(["fig 1", "table 2"], rng.randrange(2)), rng.random() < 0.3, False, rng.choice([0.0, 0.1])) for n in range(200)]
+    d = spark.createDataFrame(docs + docs[:0], "doc_key string, tokens array<string>, labels array<string>, visual boolean, tabular boolean, extra double").repartition(3)
+    q = spark.createDataFrame([(f"q{n}", [rng.choice(words) for _ in range(3)] if n else [], ["fig 1"] if n % 3 == 0 else [], n % 2 == 0, False) for n in range(12)], "query_id string, tokens array<string>, labels array<string>, visual boolean, tabular boolean")
+    get = lambda: sorted(map(tuple, bm25.rank_documents(q, d, 5).collect()))
+    whole = get()
+    monkeypatch.setattr(bm25, "BLOCK", 5)
+    monkeypatch.setattr(bm25, "BATCH", 7)
+    assert get() == whole and len(whole) == 60
+    assert bm25.rank_documents(q, d.where("false"), 5).count() == 0 and bm25.rank_documents(q.where("false"), d, 5).count() == 0

@@ -123,3 +123,37 @@ def test_stream_counts_every_row(spark, tmp_path):
     plain = spark.read.parquet(str(tmp_path / "in")).groupBy(F.col("at").substr(1, 10).alias("day"), "kind").count()
     assert sorted(map(repr, got.selectExpr("cast(cast(start as date) as string) as day", "kind", "n as count").collect())) == sorted(map(repr, plain.collect()))
     assert got.agg(F.sum("n")).first()[0] == 2 * len(days)
+
+
+def test_first_sheet_is_the_workbooks_own():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="B" r:id="rId9"/><sheet name="A" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="worksheets/sheet2.xml"/></Relationships>')
+        for n, text in ((1, "other"), (2, "own")):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"/><row r="3"><c r="AB3"><v> {text} </v></c></row></sheetData></worksheet>')
+    rows = documents.sheet_rows(buffer.getvalue())
+    assert rows == [[""] * 27 + ["own"]]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    lines = ["" if n % 7 == 3 else f"line {n} " + "x" * (n % 50) for n in range(1, 3001)]
+    (tmp_path / "p/items.jsonl").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.line_no: r.record for r in packages.read_lines(spark, str(tmp_path / "*/items.jsonl")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {n: t for n, t in enumerate(lines, 1) if t}
+
+
+def test_nested_text_at_any_depth():
+    value = '"end"'
+    for n in range(300):
+        value = f'[{value}]' if n % 2 else '{"children": ' + value + "}"
+    assert blocks.leaf_text(value) == "end"
+    assert blocks.leaf_text('[{"content": "a "}, "b", {"children": [{"content": "c"}, {"x": 1}]}, null, 3]') == "abc"
+    assert blocks.leaf_text(" plain ") == "plain" and blocks.leaf_text(None) == "" and blocks.leaf_text("[broken") == "[broken"
