@@ -23,9 +23,12 @@ BLOCK, BATCH = 1000, 512
 
 
 def postings(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """The documents with ``size`` (tokens), ``terms`` and ``counts`` (numbers and counts of the known terms) for tokens."""
+    """The documents with ``size`` (tokens), ``terms`` and ``counts`` (numbers and counts of the known terms) for tokens.
+
+    ``source_id`` is kept where there is one.
+    """
     shared = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    keep = ["doc_key", "labels", "visual", "tabular", "extra"]
+    keep = [c for c in ("doc_key", "labels", "visual", "tabular", "extra", "source_id") if c in documents.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = shared.value
@@ -41,13 +44,14 @@ def postings(documents: DataFrame, terms: list[str]) -> DataFrame:
     return documents.select(*keep, "tokens").mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", size int, terms array<int>, counts array<int>")
 
 
-def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
+def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10, nudges: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_key, score: the best k documents of each query.
 
     ``queries``: query_id, tokens, labels, visual, tabular; ``documents``: doc_key, tokens, labels, visual, tabular, extra
     (added to scores that are above 0). Score = BM25 + 6 for a shared label + 4 where both are visual + 4 where both are
     tabular; ties go to the smaller doc_key. Scores are rounded to 6 places before ranking. Documents without tokens and
-    queries without tokens match by labels and intent only. The queries are a stated set: they go to the tasks in blocks of
+    queries without tokens match by labels and intent only. ``nudges``: query_id, source_id, nudge, a few per query, are
+    added for all documents of a source, also to a score of 0. The queries are a stated set: they go to the tasks in blocks of
     BLOCK, each of which reads the postings once.
     """
     rows = sorted(queries.select("query_id", F.array_distinct("tokens").alias("tokens"), "labels", "visual", "tabular").collect(), key=lambda r: str(r.query_id))
@@ -61,13 +65,16 @@ def rank_documents(queries: DataFrame, documents: DataFrame, k: int = 10) -> Dat
         df[r.term] = r["count"]
     idf = np.log(1 + (total.n - df + 0.5) / (df + 0.5))
     number = {t: i for i, t in enumerate(terms)}
+    pushed: dict[str, dict[str, float]] = {}
+    for r in nudges.select("query_id", "source_id", "nudge").collect() if nudges is not None else ():
+        pushed.setdefault(r.query_id, {})[r.source_id] = r.nudge
     for start in range(0, len(rows), BLOCK):
-        part = score_block(rows[start : start + BLOCK], known, number, idf, max(total["mean"] or 0.0, 1.0), k, types)
+        part = score_block(rows[start : start + BLOCK], known, number, idf, max(total["mean"] or 0.0, 1.0), k, types, pushed)
         found = part if start == 0 else found.unionByName(part)
     return top_rows(found, ["query_id"], [F.desc("score"), "doc_key"], k).select("query_id", "rank", "doc_key", "score")
 
 
-def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.ndarray, mean: float, k: int, types: tuple[str, str]) -> DataFrame:
+def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.ndarray, mean: float, k: int, types: tuple[str, str], pushed: dict[str, dict[str, float]]) -> DataFrame:
     """query_id, doc_key, score: of the documents of each task the best k for each query of a block."""
     # the queries of each term: those of term t are asked[first[t]:first[t + 1]]
     holds = sorted((number[t], j) for j, r in enumerate(rows) for t in r.tokens)
@@ -76,11 +83,15 @@ def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.nd
     marks = sorted({x for r in rows for x in r.labels})
     marked = {x: np.array([x in r.labels for r in rows], float) for x in marks}
     visual, tabular = np.array([bool(r.visual) for r in rows], float), np.array([bool(r.tabular) for r in rows], float)
-    shared = known.sparkSession.sparkContext.broadcast((asked, first, idf, marked, visual, tabular, [r.query_id for r in rows]))
+    near: dict[str, np.ndarray] = {}
+    for j, r in enumerate(rows):
+        for source, nudge in pushed.get(r.query_id, {}).items():
+            near.setdefault(source, np.zeros(len(rows)))[j] = nudge
+    shared = known.sparkSession.sparkContext.broadcast((asked, first, idf, marked, visual, tabular, near, [r.query_id for r in rows]))
 
     def scores(pdf: pd.DataFrame) -> np.ndarray:
         """The scores of some documents (rows) for all queries of the block."""
-        asked, first, idf, marked, visual, tabular, names = shared.value
+        asked, first, idf, marked, visual, tabular, near, names = shared.value
         term = np.concatenate([np.asarray(t, np.int64) for t in pdf["terms"]])
         f = np.concatenate([np.asarray(c, float) for c in pdf["counts"]])
         doc = np.repeat(np.arange(len(pdf)), [len(t) for t in pdf["terms"]])
@@ -89,7 +100,7 @@ def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.nd
         n = first[term + 1] - first[term]
         at = np.repeat(np.arange(len(term)), n)
         query = asked[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[term][at]]
-        score = np.bincount(doc[at] * len(names) + query, weights=w[at], minlength=len(pdf) * len(names)).reshape(len(pdf), len(names))
+        score = np.bincount(doc[at] * len(names) + query, weights=w[at], minlength=len(pdf) * len(names)).astype(float).reshape(len(pdf), len(names))
         for i, own in enumerate(pdf["labels"]):
             hit = [marked[x] for x in own if x in marked]
             if hit:
@@ -97,6 +108,10 @@ def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.nd
         for column, wanted in (("visual", visual), ("tabular", tabular)):
             there = pdf[column].to_numpy(bool)
             score[there] += INTENT_BOOST * wanted
+        if near:
+            for i, source in enumerate(pdf["source_id"]):
+                if source in near:
+                    score[i] += near[source]
         return np.where(score > 0, score + pdf["extra"].to_numpy(float)[:, None], 0.0).round(6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +130,7 @@ def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.nd
                     full = best.groupby("query")["score"].agg(["size", "min"])
                     full = full[full["size"] >= k]
                     least[full.index.to_numpy()] = full["min"]
-        yield pd.DataFrame({"query_id": [names[q] for q in best["query"]], "doc_key": best["doc_key"], "score": best["score"]})
+        yield pd.DataFrame({"query_id": [names[q] for q in best["query"]], "doc_key": best["doc_key"].to_numpy(object), "score": best["score"].to_numpy()})
 
     return known.mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
 

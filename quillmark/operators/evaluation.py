@@ -34,3 +34,37 @@ def concept_coverage(cases: DataFrame, answers: DataFrame) -> DataFrame:
     said = F.size(F.filter(words, lambda w: F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lower(w))))
     share = F.when(F.size(words) > 0, F.round(said / F.size(words), 4))
     return joined.select("id", covers_concepts(F.col("answer"), F.col("required_keyword_groups")).alias("covered"), share.alias("keywords"))
+
+
+def navigation_ranks(cases: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, source_rank, page_rank, named_rank, first_rank: how far up navigation leads to the case's source.
+
+    ``pages``: query_id, rank, path, source_id; ``sources``: query_id, rank, source_id. ``page_rank`` is that of the first page
+    of the source, ``named_rank`` that of the first page the case names; ``first_rank`` is the source's own rank, where it has
+    one, else the page's.
+    """
+    own = cases.select(F.col("id").alias("query_id"), "source_id")
+    by_source = sources.join(own, ["query_id", "source_id"]).groupBy("query_id").agg(F.min("rank").alias("source_rank"))
+    by_page = pages.join(own, ["query_id", "source_id"]).groupBy("query_id").agg(F.min("rank").alias("page_rank"))
+    named = cases.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("wiki_page_paths")).alias("path"))
+    by_name = pages.join(named, ["query_id", "path"]).groupBy("query_id").agg(F.min("rank").alias("named_rank"))
+    joined = own.select("query_id").join(by_source, "query_id", "left").join(by_page, "query_id", "left").join(by_name, "query_id", "left")
+    return joined.select(F.col("query_id").alias("id"), "source_rank", "page_rank", "named_rank", F.coalesce("source_rank", "page_rank").alias("first_rank"))
+
+
+def baseline_summary(answers: DataFrame) -> DataFrame:
+    """One row on answers (expected, found, exact, contained): counts, mean lengths, median length ratio, how many cite."""
+    found, expected = F.coalesce("found", F.lit("")), F.coalesce("expected", F.lit(""))
+    ratio = F.length(found) / F.greatest(F.length(expected), F.lit(1))
+    return answers.agg(
+        F.count("*").alias("cases"), F.count_if("exact").alias("exact"), F.count_if("contained").alias("contained"),
+        F.count_if(found.rlike(r"(?i)evidence\s*id")).alias("with_evidence_id"), F.count_if(found.rlike(r"(?:〔|\[|【)\s*\d+\s*(?:〕|\]|】)")).alias("with_marker"),
+        F.round(F.avg(F.length(expected)), 1).alias("mean_expected"), F.round(F.avg(F.length(found)), 1).alias("mean_found"), F.round(F.median(ratio), 2).alias("median_ratio"), F.count_if(ratio > 3).alias("over_3x"),
+    )
+
+
+def answer_metrics(rows: DataFrame, group: Column) -> DataFrame:
+    """Per group of rows (answerable, covered, keywords, cited): cases, and the means; coverage over answerable rows only."""
+    share = lambda c, when=None: F.round(F.avg(F.when(F.lit(True) if when is None else when, c.cast("double"))), 4)
+    answerable = F.coalesce("answerable", F.lit(False))
+    return rows.groupBy(group).agg(F.count("*").alias("cases"), share(answerable).alias("answerable"), share(F.col("covered"), answerable).alias("coverage"), share(F.col("keywords")).alias("keywords"), share(F.col("cited")).alias("citations"))

