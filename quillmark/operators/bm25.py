@@ -130,7 +130,8 @@ def score_block(rows: list, known: DataFrame, number: dict[str, int], idf: np.nd
                     full = best.groupby("query")["score"].agg(["size", "min"])
                     full = full[full["size"] >= k]
                     least[full.index.to_numpy()] = full["min"]
-        yield pd.DataFrame({"query_id": [names[q] for q in best["query"]], "doc_key": best["doc_key"].to_numpy(object), "score": best["score"].to_numpy()})
+        if len(best):
+            yield pd.DataFrame({"query_id": [names[q] for q in best["query"]], "doc_key": best["doc_key"].to_numpy(object), "score": best["score"].to_numpy()})
 
     return known.mapInPandas(run, f"query_id {types[0]}, doc_key {types[1]}, score double")
 
