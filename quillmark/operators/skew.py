@@ -19,11 +19,12 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Da
     """Left join on ``keys`` where the left rows of hot keys are spread over ``salts`` tasks.
 
     The right rows of hot keys are repeated once per salt; all other rows have salt 0, so nothing else grows. ``keys`` are
-    compared with ordinary equality: null keys match nothing and keep their left row.
+    compared with ordinary equality: null keys match nothing and keep their left row. The join is a merge join of both sides,
+    partitioned and sorted by the keys, however small one of them is.
     """
     mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     by = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     a = left.join(mark, keys, "left").withColumn("_salt", by).drop("_hot")
     all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(mark, keys, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
-    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
+    return a.join(b.hint("merge"), [*keys, "_salt"], "left").drop("_salt")

@@ -4,10 +4,10 @@ import json
 
 import pytest
 
-from quillmark.plans import answering, ingest, problems, retrieval
+from quillmark.plans import answering, ingest, loading, problems, retrieval
 
-QUERIES = retrieval.QUERIES | ingest.QUERIES | answering.QUERIES | problems.QUERIES
-ORACLE = retrieval.ORACLE | ingest.ORACLE | answering.ORACLE | problems.ORACLE
+QUERIES = retrieval.QUERIES | ingest.QUERIES | answering.QUERIES | loading.QUERIES | problems.QUERIES
+ORACLE = retrieval.ORACLE | ingest.ORACLE | answering.ORACLE | loading.ORACLE | problems.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
