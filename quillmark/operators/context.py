@@ -17,7 +17,7 @@ PART_NAMES = {
     "paragraph": "正文段落", "page_aside_text": "旁注段落", "page_footnote": "脚注段落", "title": "标题", "image": "图片区域", "figure": "图片区域", "chart": "图表区域",
     "table": "表格区域", "equation": "公式区域", "formula": "公式区域", "page_header": "页眉", "page_footer": "页脚", "page_number": "页码",
 }
-PART_ROWS = 500
+PART_ROWS, PART_LETTERS = 500, 12
 ITEM_COLUMNS = ["source_version", "sequence", "item_type", "page_start", "breadcrumb", "raw_text", "caption", "search_text", "provenance", "asset_ids"]
 
 
@@ -31,9 +31,16 @@ def stretch(sequence: Column) -> Column:
     return F.floor(F.coalesce(sequence, F.lit(0)) / PART_ROWS)
 
 
+def part_of_order(sequence: Column, item: Column) -> Column:
+    """A leading part of the order by (sequence, item): the range of the sequence, and for items without a sequence (or at 0)
+    the first letters of the item, so that a source without sequences is not one part."""
+    none = F.coalesce(sequence, F.lit(0)) == 0
+    return F.struct(stretch(sequence).alias("range"), (~none).alias("placed"), F.when(none, F.substring(item, 1, PART_LETTERS)).otherwise("").alias("letters"))
+
+
 def placed_items(items: DataFrame) -> DataFrame:
     """Items with their position in the source, by (sequence, item_id)."""
-    return positions(items, ["source_id"], stretch(F.col("sequence")), [F.coalesce("sequence", F.lit(0)), "item_id"])
+    return positions(items, ["source_id"], part_of_order(F.col("sequence"), F.col("item_id")), [F.coalesce("sequence", F.lit(0)), "item_id"])
 
 
 def locators(items: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def locators(items: DataFrame) -> DataFrame:
     """
     located = items.withColumn("page_number", F.when(F.col("page_start") >= 1, F.col("page_start")))
     paragraph = F.col("item_type").isin(PARAGRAPHS)
-    group, coarse, order = ["source_id", "page_number"], stretch(F.col("sequence")), [F.coalesce("sequence", F.lit(0)), "item_id"]
+    group, coarse, order = ["source_id", "page_number"], part_of_order(F.col("sequence"), F.col("item_id")), [F.coalesce("sequence", F.lit(0)), "item_id"]
     counted = running_sum(located, group, coarse, order, F.lit(1), "on_page")
     counted = running_sum(counted, group, coarse, order, paragraph.cast("int"), "paragraphs")
     ref, own = empty(F.col("provenance.raw_ref")), empty(F.col("item_id"))

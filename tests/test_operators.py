@@ -315,3 +315,12 @@ def test_nudges_lift_documents_of_a_source(spark):
     assert [r.doc_key for r in bm25.rank_documents(q, d, 5).orderBy("rank").collect()] == ["s#1", "t#1"]
     got = bm25.rank_documents(q, d, 5, nudges).orderBy("rank").collect()
     assert [r.doc_key for r in got] == ["t#1", "s#1", "t#2"] and got[2].score == 0.001
+
+
+def test_positions_without_sequences(spark):
+    rows = [("s", f"item-{n:07}-x", None, n) for n in range(300)] + [("s", f"late-{n}", n + 1, n) for n in range(700)] + [("s", "item-0", -3, 0), ("s", "zero", 0, 0), (None, "a", None, 0)]
+    df = spark.createDataFrame(rows, "source_id string, item_id string, sequence int, extra int")
+    got = {(r.source_id, r.item_id): r.position for r in context.placed_items(df).collect()}
+    want = sorted((r for r in rows if r[0]), key=lambda r: (r[2] or 0, r[1]))
+    assert [got["s", r[1]] for r in want] == list(range(1, len(want) + 1)) and got[None, "a"] == 1
+    assert df.select(context.part_of_order(F.col("sequence"), F.col("item_id"))).distinct().count() > 3
