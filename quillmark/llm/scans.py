@@ -41,6 +41,8 @@ CONTEXTS, DIMENSIONS, WINDOW, NEGATIVE, COMMON, EPOCHS = 1024, 32, 3, 1.0, 1e-3,
 RATIO, LEAST_COUNT, LEAST_FIT, MISREAD, SAME, SURE_RATIO, PAIR_RATIO = 8, 8, -1.0, 1.0, 0.5, 40, 20.0
 #: bounds of what is broadcast, beyond which the same is joined; packages that share a running line which is no title
 MOST_LINKS, MOST_KEYS, MOST_WORDS, SHARING = 50_000, 1_000_000, 300_000, 3
+#: words that are added up at once in a task
+STRETCH = 200_000
 EVENT_TYPE = "array<struct<line_no:int,noise:string>>"
 
 # fixed values: misread glyphs and what they stand for
@@ -301,16 +303,20 @@ def word_sums(spoken: DataFrame, contexts: list[str], table: np.ndarray, kept: n
             gap = [-1] * WINDOW
             at = np.array([x for own in texts for x in [*[number[w] for w in own], *gap]], np.int64)
             row = np.append(np.array([context.get(w, k) for w in number], np.int64), k + 1)[at]
-            around = np.zeros((len(at), DIMENSIONS + 1), np.float32)
-            for step in range(1, WINDOW + 1):
-                around[step:] += rows[row[:-step]]
-                around[:-step] += rows[row[step:]]
-            real = np.flatnonzero(at >= 0)
-            order = real[np.argsort(at[real], kind="stable")]
-            if len(order):
-                first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                total[at[order][first]] += np.add.reduceat(around[order], first, axis=0)
-                count += np.bincount(at[real], minlength=size)
+            for start in range(0, len(at), STRETCH):  # with the words beside each stretch, so that it may be cut anywhere
+                lo, stop = max(0, start - WINDOW), min(len(at), start + STRETCH)
+                near = row[lo : stop + WINDOW]
+                around = np.zeros((len(near), DIMENSIONS + 1), np.float32)
+                for step in range(1, WINDOW + 1):
+                    around[step:] += rows[near[:-step]]
+                    around[:-step] += rows[near[step:]]
+                own = at[start:stop]
+                real = np.flatnonzero(own >= 0)
+                order = real[np.argsort(own[real], kind="stable")]
+                if len(order):
+                    first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+                    total[own[order][first]] += np.add.reduceat(around[start - lo :][order], first, axis=0)
+                    count += np.bincount(own[real], minlength=size)
             if size > MOST_WORDS:  # a sum may come in parts
                 yield frame()
                 number, count, total = {}, np.zeros(0, np.int64), np.zeros((0, DIMENSIONS + 1))

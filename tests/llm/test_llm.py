@@ -403,6 +403,8 @@ def test_word_sums_in_parts(spark, monkeypatch):
     assert abs(whole["word7"][1] - (2 * table[0][0] + table[1][0])) < 0.01
     monkeypatch.setattr(scans, "MOST_WORDS", 3)
     assert sums() == whole
+    monkeypatch.setattr(scans, "STRETCH", 4)
+    assert sums() == whole
 
 
 def contextual(spark, seed=3):
