@@ -71,6 +71,7 @@ PAGE_SIGNS = re.compile(r"[-–—~·\[(\s]*第?\s*[\dlO]{1,6}\s*[页頁](?:\s*[
 ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 NUMBERED = re.compile(r"^\s*\d{1,6}\s*\|\s*|\s*\|\s*\d{1,6}\s*$|\s{2,}\d{1,6}\s*$")
 DECIMAL = re.compile(r"(?<![\w.,])(?=[^\s\d]*\d)[\dlIOSZbBGqg]+(?:[.,][\dlIOSZbBGqg]+)+(?![\w])")
+LETTERED = re.compile("[lIOSZbBGqg][.,]?\\d|\\d[.,]?[lIOSZbBGqg]")  # what every decimal with a misread digit holds
 DIGITS = str.maketrans("lIOSZbBGqg", "1105268699")
 SKELETON = str.maketrans({"c": "e", "l": "i", "1": "i", "|": "i", "f": "t", "0": "o", "§": "s", "5": "s", "$": "s", "q": "g", "9": "g", "8": "h", "b": "h", "v": "y", "6": "h", "ä": "a", "ö": "o", "€": "e", "@": "a", "z": "2", "7": "t", "4": "a", "j": "i", "u": "n"})
 SPACES = re.compile(r"\s+")
@@ -209,14 +210,14 @@ def spoken_texts(texts: DataFrame) -> DataFrame:
     return texts.groupBy("text").agg(F.min("keep").alias("keep")).mapInPandas(run, "words string, pairs string")
 
 
-def word_places(words: pd.Series, number: dict[str, int], other: int) -> np.ndarray:
-    """The numbers of all words of some texts one after another, WINDOW times ``other + 1`` between texts."""
-    out: list[int] = []
-    gap = [other + 1] * WINDOW
-    for text in words:
-        out += [number.get(w, other) for w in text.split()]
-        out += gap
-    return np.array(out, np.int64)
+def coded(words: pd.Series) -> tuple[np.ndarray, list[str]]:
+    """The words of some texts one after another as numbers, WINDOW gaps after each text; and the words of the numbers.
+
+    A gap is a line end or the empty word.
+    """
+    gap = " " + "\n " * WINDOW
+    codes, known = pd.factorize(np.array((gap.join(words) + gap).split(" "), object))
+    return codes, list(known)
 
 
 def neighbour_counts(spoken: DataFrame, contexts: list[str]) -> np.ndarray:
@@ -231,7 +232,8 @@ def neighbour_counts(spoken: DataFrame, contexts: list[str]) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(k * k, np.int64)
         for pdf in batches:
-            at = word_places(pdf["words"], shared.value, k)
+            codes, known = coded(pdf["words"])
+            at = np.array([shared.value.get(w, k) for w in known], np.int64)[codes]
             for step in range(1, WINDOW + 1):
                 a, b = at[step:], at[:-step]
                 both = (a < k) & (b < k)
@@ -278,7 +280,7 @@ def word_sums(spoken: DataFrame, contexts: list[str], table: np.ndarray, kept: n
     MOST_WORDS of them passes its sums on and starts anew.
     """
     k = len(contexts)
-    shared = spoken.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(contexts)}, np.vstack([np.column_stack([kept, table]), np.zeros((2, DIMENSIONS + 1))]).astype(np.float32)))
+    shared = spoken.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(contexts)}, np.vstack([np.column_stack([kept, table]), np.zeros((1, DIMENSIONS + 1))]).astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, rows = shared.value
@@ -292,17 +294,12 @@ def word_sums(spoken: DataFrame, contexts: list[str], table: np.ndarray, kept: n
             return out
 
         for pdf in batches:
-            texts = [t.split() for t in pdf["words"]]
-            for own in texts:
-                for w in own:
-                    if w not in number:
-                        number[w] = len(number)
+            codes, known = coded(pdf["words"])
+            at = np.array([-1 if w in ("\n", "") else number.setdefault(w, len(number)) for w in known], np.int64)[codes]
+            row = np.array([context.get(w, k) for w in known], np.int64)[codes]
             size = len(number)
             count = np.concatenate([count, np.zeros(size - len(count), np.int64)])
             total = np.concatenate([total, np.zeros((size - len(total), DIMENSIONS + 1))])
-            gap = [-1] * WINDOW
-            at = np.array([x for own in texts for x in [*[number[w] for w in own], *gap]], np.int64)
-            row = np.append(np.array([context.get(w, k) for w in number], np.int64), k + 1)[at]
             for start in range(0, len(at), STRETCH):  # with the words beside each stretch, so that it may be cut anywhere
                 lo, stop = max(0, start - WINDOW), min(len(at), start + STRETCH)
                 near = row[lo : stop + WINDOW]
@@ -439,6 +436,19 @@ class Reader:
 
     def __init__(self, right: dict[str, Link], pairs: dict[str, int], space: Space):
         self.right, self.pairs, self.space = right, pairs, space
+        self.plain: set[str] = set()  # words that are right by their shape, as far as seen
+
+    def suspect(self, words: list[str]) -> bool:
+        """Whether any of some words has a link or a shape that no word has."""
+        if not self.plain.issuperset(words):
+            if len(self.plain) > MOST_WORDS:
+                self.plain = set()
+            odd = [w for w in words if w not in self.plain and not w.isalpha() and shape_right(w)]
+            self.plain.update(words)
+            self.plain.difference_update(odd)
+            if odd:
+                return True
+        return not self.right.keys().isdisjoint(words)
 
     def word(self, w: str, words: list[str], at: int) -> str | None:
         """What stands for a word at its place among the words of the body."""
@@ -474,19 +484,21 @@ class Reader:
         wrong: set[int] = set()
         fixed = list(lines)
         rests = {j: i for i, (j, _, _) in breaks.items()}
-        plain = text.isascii()
+        plain = text.isascii() or not CONFUSABLE.search(text)
+        numbers = LETTERED.search(text) is not None and any(not m.replace(".", "").replace(",", "").isdigit() for m in DECIMAL.findall(text))
         body = [i for i, f in enumerate(frame) if not f and lines[i]]
         # the words of the body in order, broken ones whole; where a word stands: (line, start, end)
         words: list[str] = []
-        spots: list[tuple[int, int, int] | None] = []
-        for i in body:
-            own = [(m[0], m.start(), m.end()) for m in WORD.finditer(lines[i])]
-            for n, (w, a, b) in enumerate(own):
-                if n == 0 and i in rests:
-                    continue
-                whole = n == len(own) - 1 and i in breaks
-                words.append(breaks[i][1] + breaks[i][2] if whole else w)
-                spots.append((i, -1, -1) if whole else (i, a, b))
+        spots: list[tuple[int, int, int]] = []
+        if self.suspect(WORD.findall(text)) or breaks and self.suspect([a + b for _, a, b in breaks.values()]):
+            for i in body:
+                own = [(m[0], m.start(), m.end()) for m in WORD.finditer(lines[i])]
+                for n, (w, a, b) in enumerate(own):
+                    if n == 0 and i in rests:
+                        continue
+                    whole = n == len(own) - 1 and i in breaks
+                    words.append(breaks[i][1] + breaks[i][2] if whole else w)
+                    spots.append((i, -1, -1) if whole else (i, a, b))
         changes: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
         for at, (w, spot) in enumerate(zip(words, spots, strict=True)):
             if w not in self.right and (w.isalpha() or w.isdigit()):
@@ -519,7 +531,7 @@ class Reader:
                         changes[k].append((start, start + len(part), own))
         for at, i in enumerate(body):
             line = lines[i]
-            for m in DECIMAL.findall(line):
+            for m in DECIMAL.findall(line) if numbers else ():
                 if not m.replace(".", "").replace(",", "").isdigit():
                     wrong.add(i)
                     fixed[i] = fixed[i].replace(m, m.translate(DIGITS))
