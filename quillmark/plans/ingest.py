@@ -94,7 +94,16 @@ def merged_parts(spark, folder):
     return merge_parts(table(spark, folder, "packages").select("package_id", "parser_name"), rt.items_of(spark, folder, ["sequence", "page_start"]).drop("ingested_at"), "parser_name")
 
 
-@add("clean_pages")
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@add(
+    "clean_pages",
+    f"""WITH a AS (SELECT doc_id, coalesce(title, '') AS title, {_STRIP("coalesce(text, '')")} AS b FROM documents), c AS (SELECT doc_id, title, regexp_replace(b, '(?s)^(?:---\\n.*?\\n---\\s*)+', '') AS b FROM a),
+d AS (SELECT doc_id, title, {_STRIP("regexp_replace(b, '(?ms)^---\\n.*?^---\\n?', '', 'g')")} AS b FROM c), e AS (SELECT doc_id, title, regexp_replace(regexp_replace(b, '{wiki.MANAGED_START}', ''), '(?s)\\n## Evidence\\n.*$', '') AS b FROM d),
+l AS (SELECT doc_id, string_split(b, chr(10)) AS ls, list_transform(string_split(b, chr(10)), lambda x: trim(x) = '' OR lower(trim(x)) = lower('# ' || title)) AS flags FROM e), k AS (SELECT doc_id, ls, coalesce(list_position(flags, false), 0) AS first FROM l)
+SELECT doc_id, regexp_replace(CASE WHEN first > 0 THEN {_STRIP("array_to_string(ls[first:], chr(10))")} ELSE '' END, '\\[\\[([^\\[\\]\\s]+@[^#\\[\\]]+#[^\\[\\]]+)\\]\\]', '`\\1`', 'g') AS text FROM k""",
+)
 def clean_pages(spark, folder):
     return table(spark, folder, "documents").select("doc_id", wiki.clean_page(F.col("text"), F.col("title")).alias("text"))
 
